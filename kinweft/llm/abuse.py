@@ -46,6 +46,7 @@ _LONE = re.compile(r"(?<=\S)[ \t]+[.·*~_|>-]+[ \t]+(?=\S)")
 _QUOTED = re.compile(r"^[ \t]*[>|]+", re.M)
 _SPACED = re.compile(rf"(?<![\w])(?:[^\W\d_](?P<s>[-_.·*~])){{2,}}[^\W\d_](?![\w])|(?<![^\W_])(?:[^\W\d_] ){{3,}}[^\W\d_](?![\w])|[{_CJK}](?:[.・·\-_*~][{_CJK}]){{2,}}")
 _TOKEN = re.compile(rf"[{_CJK}]|[^\W_{_CJK}](?:[^\s.,;:?\"“”«»()\[\]{{}}<>|{_CJK}]*[\w*#$@])?")
+_KANA, _HAN, _DIGITS = re.compile(r"[ァ-ヺー]+"), re.compile(r"[぀-ゟ㐀-鿿]"), re.compile(r"\d+(?:[.:,]\d+)*")
 _NUMBER = re.compile(r"^[\d.,:]+$")
 _RUN = re.compile(r"(.)\1+")
 _WORDISH = re.compile(r"[^\w*#]")
@@ -260,9 +261,9 @@ def fit(rows: list[tuple[str | None, int | None]], usual: list[str] | None = Non
 def shape(utterance: str) -> str:
     """An utterance with its names and numbers left open, for counting how usual it is."""
     out: list[str] = []
-    for k, w in enumerate(utterance.split()):
+    for k, w in enumerate(_KANA.sub("N", _DIGITS.sub("0", utterance)).split()):
         bare = w.strip(".,;:!?()[]\"'“”«»<>")
-        named = bool(bare) and (bare[0].isupper() and k > 0 or any(c.isdigit() for c in bare))
+        named = bool(bare) and not _HAN.search(bare) and (bare[0].isupper() and k > 0 or any(c.isdigit() for c in bare))
         if not (named and out and out[-1] == "N"):
             out.append("N" if named else bare.lower())
     return " ".join(out)
