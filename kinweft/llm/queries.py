@@ -9,6 +9,7 @@ from kinweft.llm.abuse import score_documents
 from kinweft.llm.golden import FIELDS, REVIEWS, TIERS, golden_records, survivors
 from kinweft.llm.leakage import leaked
 from kinweft.llm.tokens import token_ids
+from kinweft.llm.variants import linked, linked_pairs
 from kinweft.plans.base import Registry
 from kinweft.session import table
 
@@ -38,6 +39,18 @@ best as (
 """
 
 
+@REG.add("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return linked_pairs(table(spark, sf, "search_rows"))
+
+
+@REG.add("p1_animals")
+def p1_animals(spark: SparkSession, sf: str) -> DataFrame:
+    """Each id with its animal's class and the number of ids linked in it."""
+    g = linked(table(spark, sf, "search_rows"))
+    return g.join(g.groupBy("animal").agg(F.count("*").alias("n_ids")), "animal").select("id", "animal", "n_ids")
+
+
 @REG.add(
     "p3_found",
     _SURVIVORS + "select s.k animal_id, f.field_name, coalesce(b.v, 'unknown') kept_value from several s cross join (values ('sex'), ('status'), ('population')) f(field_name) left join best b on b.k = s.k and b.field_name = f.field_name",
