@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweft.llm.abuse import score_documents
 from kinweft.llm.golden import FIELDS, REVIEWS, TIERS, golden_records, survivors
 from kinweft.llm.leakage import leaked
+from kinweft.llm.matching import matches
 from kinweft.llm.tokens import token_ids
 from kinweft.llm.variants import linked, linked_pairs
 from kinweft.plans.base import Registry
@@ -68,6 +69,16 @@ def p3_records(spark: SparkSession, sf: str) -> DataFrame:
     return golden_records(table(spark, sf, "animals"), table(spark, sf, "sources")).withColumnRenamed("k", "animal_id")
 
 
+@REG.add("p5_found")
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return matches(table(spark, sf, "import_animals"), table(spark, sf, "animals")).select("animal_id", "import_id")
+
+
+@REG.add("p5_confidence")
+def p5_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return matches(table(spark, sf, "import_animals"), table(spark, sf, "animals"))
+
+
 @REG.add("p7_ids")
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
