@@ -10,12 +10,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: dict[str, str] = {}
-_OPEN: "weakref.WeakSet[Scratch]" = weakref.WeakSet()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +39,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/kinweft/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        _OPEN.add(self)
+        # Unions that keep the partitioning of their inputs fail where adaptive execution has
+        # coalesced those differently ("can't zip RDDs with unequal numbers of partitions").
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
         _at_exit(spark)
 
     def path(self, label: str = "t") -> str:
