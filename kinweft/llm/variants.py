@@ -23,7 +23,7 @@ from kinweft.llm.names import parse
 from kinweft.llm.spread import spread
 from kinweft.operators.components import components
 from kinweft.scratch import Scratch
-from kinweft.session import id_key
+from kinweft.session import id_key, tasks
 
 RADIUS = 2
 #: Attributes that one animal never has two values of.
@@ -72,12 +72,16 @@ def balls(points: DataFrame, keep: list[str], radius: int = RADIUS) -> DataFrame
 
 
 def radius_join(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b, distance): pairs of points of one ordinal within radius; points are (p, given, house, ordinal)."""
+    """(a, b): pairs of points of one ordinal within radius; points are (p, given, house, ordinal).
+
+    Where both orders of a name are points, a need only stand in the alphabetical one.
+    """
+    points = points.repartition(tasks(points.sparkSession), "p")
     b = balls(points, ["p", "ordinal"], radius)
-    x = b.select(F.col("p").alias("a"), "ordinal", "ball", F.col("given").alias("ga"), F.col("house").alias("ha"))
+    x = b.where("given <= house").select(F.col("p").alias("a"), "ordinal", "ball", F.col("given").alias("ga"), F.col("house").alias("ha"))
     y = b.select(F.col("p").alias("b"), "ordinal", "ball", F.col("given").alias("gb"), F.col("house").alias("hb"))
     far = F.levenshtein("ga", "gb") + F.levenshtein("ha", "hb")
-    return x.join(y, ["ball", "ordinal"]).where("a < b").withColumn("distance", far).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+    return x.join(y, ["ball", "ordinal"]).where("a != b").where(far <= radius).select("a", "b").distinct()
 
 
 def _profile(traits: DataFrame, key: str) -> DataFrame:
@@ -116,6 +120,7 @@ def linked(rows: DataFrame) -> DataFrame:
     near = radius_join(points)
     x, y = profile.alias("x"), profile.alias("y")
     sound = near.join(x, F.col("a") == F.col("x.p")).join(y, F.col("b") == F.col("y.p")).where(_agree("x", "y")).select("a", "b")
+    sound = store.write(sound, "links")
     first = full.groupBy("id").agg(F.min("p").alias("a"))
     own = full.join(first, "id").select("a", F.col("p").alias("b"))
     named = components(sound.unionByName(own), "a", "b", points, "p")
