@@ -2,6 +2,6 @@
 
 
 def registries() -> list:
-    from kinweft.plans import structure
+    from kinweft.plans import checks, search, structure
 
-    return [structure.REG]
+    return [checks.REG, search.REG, structure.REG]
