@@ -94,13 +94,11 @@ def parse(text: str | None) -> list[Name]:
         a, b = b, a
     out = []
     kind = "open" if _stem(a) or _stem(b) else "full"
-    for g, h, sure in ((a, b, True), (b, a, False)):
+    for g, h in ((a, b), (b, a)):
         if _INITIAL.match(g) or _INITIAL.match(h):
             if _INITIAL.match(g) and not _INITIAL.match(h):
                 out.append(Name(g, h, ordinal, "initial"))
             continue
-        if turned and not sure:
-            continue
         if not (g.endswith(PET) and _stem(g)) and not (h.endswith(PET) and _stem(h)):
             out.append(Name(g, h, ordinal, kind))
         if _stem(g) and not (h.endswith(PET) and _stem(h)):
