@@ -81,7 +81,8 @@ def radius_join(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     x = b.where("given <= house").select(F.col("p").alias("a"), "ordinal", "ball", F.col("given").alias("ga"), F.col("house").alias("ha"))
     y = b.select(F.col("p").alias("b"), "ordinal", "ball", F.col("given").alias("gb"), F.col("house").alias("hb"))
     far = F.levenshtein("ga", "gb") + F.levenshtein("ha", "hb")
-    return x.join(y, ["ball", "ordinal"]).where("a != b").where(far <= radius).select("a", "b").distinct()
+    # A generated row costs nothing in Spark's estimate: without the hint the balls would be broadcast.
+    return x.join(y.hint("merge"), ["ball", "ordinal"]).where("a != b").where(far <= radius).select("a", "b").distinct()
 
 
 def _profile(traits: DataFrame, key: str) -> DataFrame:
@@ -123,7 +124,7 @@ def linked(rows: DataFrame) -> DataFrame:
     sound = store.write(sound, "links")
     first = full.groupBy("id").agg(F.min("p").alias("a"))
     own = full.join(first, "id").select("a", F.col("p").alias("b"))
-    named = components(sound.unionByName(own), "a", "b", points, "p")
+    named = components(sound.unionByName(own.where("a != b")), "a", "b", points, "p")
     placed = store.write(first.join(named, F.col("a") == F.col("node")).select("id", F.col("component").alias("g")), "placed")
     # An id alone in its group that may as well bear a pet form is placed with the short names.
     sure = full.groupBy("id").agg(F.max(F.col("kind") == "full").alias("sure"))
@@ -142,7 +143,7 @@ def _short(store: Scratch, read: DataFrame, traits: DataFrame, placed: DataFrame
     one = lambda df, keep: df.select(*keep, "given", "house", "ordinal", F.explode(dropped(F.col("house"), 1)).alias("ball"))
     a = one(with_house, ["id", "kind"]).select("id", "kind", F.col("given").alias("ga"), F.col("house").alias("ha"), "ordinal", "ball")
     b = one(full, ["g"]).select("g", F.col("given").alias("gb"), F.col("house").alias("hb"), "ordinal", "ball")
-    housed = a.join(b, ["ordinal", "ball"]).where((F.levenshtein("ha", "hb") <= 1) & F.expr("startswith(gb, ga)"))
+    housed = a.join(b.hint("merge"), ["ordinal", "ball"]).where((F.levenshtein("ha", "hb") <= 1) & F.expr("startswith(gb, ga)"))
     single = loose.where("house = '' and length(given) >= 4")
     alone = single.select("id", F.col("given").alias("ga"), "ordinal", F.substring("given", 1, 4).alias("head")).join(
         full.select("g", F.col("given").alias("gb"), "ordinal", F.substring("given", 1, 4).alias("head")), ["ordinal", "head"]
