@@ -2,6 +2,6 @@
 
 
 def registries() -> list:
-    from kinweft.plans import checks, search, structure
+    from kinweft.plans import checks, layouts, merging, pedigree, search, structure
 
-    return [checks.REG, search.REG, structure.REG]
+    return [checks.REG, layouts.REG, merging.REG, pedigree.REG, search.REG, structure.REG]

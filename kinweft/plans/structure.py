@@ -22,7 +22,7 @@ def lineage_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 _EDGES = """edges as (select distinct type rel_type, lower(regexp_replace(subject, '^\\s+|\\s+$', '', 'g')) p, lower(regexp_replace(object, '^\\s+|\\s+$', '', 'g')) v
   from relationships where type in ('biological_mother', 'biological_father'))"""
-_STATES = f"""with recursive {_EDGES},
+STATES_SQL = f"""with recursive {_EDGES},
 reach(rel_type, v, a) as (select rel_type, v, p from edges union select r.rel_type, r.v, e.p from reach r join edges e on e.rel_type = r.rel_type and e.v = r.a),
 loops as (select rel_type, v, (select min(r2.a) from reach r2 where r2.rel_type = reach.rel_type and r2.v = reach.v) low from reach where v = a),
 up(rel_type, v, a, n) as (select rel_type, v, p, 1 from edges union all select u.rel_type, u.v, e.p, u.n + 1 from up u join edges e on e.rel_type = u.rel_type and e.v = u.a where not exists (select 1 from loops l where l.rel_type = u.rel_type and l.v = u.a)),
@@ -30,16 +30,18 @@ nodes as (select rel_type, p v from edges union select rel_type, v from edges)
 """
 
 
-@REG.add(
-    "p2_found",
-    _STATES
-    + """select n.rel_type, n.v animal_id,
+STATES_SELECT = """select n.rel_type, n.v animal_id,
   coalesce(l.low, lu.low, t.a, n.v) root_id, cast(case when l.v is not null then 0 else coalesce(lu.n, t.n, 0) end as int) depth,
   case when l.v is not null then 'on_cycle' when lu.v is not null then 'below_cycle' else 'rooted' end state
 from nodes n
 left join loops l on l.rel_type = n.rel_type and l.v = n.v
 left join (select u.rel_type, u.v, l.low, min(u.n) n from up u join loops l on l.rel_type = u.rel_type and l.v = u.a group by all) lu on lu.rel_type = n.rel_type and lu.v = n.v
-left join (select rel_type, v, max_by(a, n) a, max(n) n from up group by all) t on t.rel_type = n.rel_type and t.v = n.v""",
+left join (select rel_type, v, max_by(a, n) a, max(n) n from up group by all) t on t.rel_type = n.rel_type and t.v = n.v"""
+
+
+@REG.add(
+    "p2_found",
+    STATES_SQL + STATES_SELECT,
 )
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     h = hierarchy(lineage_edges(spark, sf), key="rel_type")
