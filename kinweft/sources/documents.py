@@ -38,7 +38,7 @@ def document_schema() -> str:
 
 def read_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, text): whole files."""
-    t = spark.read.option("wholetext", True).text(paths)
+    t = spark.read.text(paths, wholetext=True)
     return t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
