@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kinweft.operators.components import components
 from kinweft.scratch import Scratch
+from kinweft.session import plain
 
 GENERATION_TYPES = ("biological_mother", "biological_father", "foster", "adoptive")
 #: Nodes of a component that one task orders by itself; larger ones are levelled by joins.
@@ -128,7 +129,7 @@ def generations(nodes: DataFrame, edges: DataFrame, node: str = "id", group_node
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         links = pdf.dropna(subset=["p"])
         level = level_group(list(zip(links["p"], links["c"])), list(dict.fromkeys(pdf["c"])))
-        return pd.DataFrame({"node": list(level), "component": pdf["component"].iloc[0], "generation": pd.array(list(level.values()), dtype="Int32")})
+        return plain(pd.DataFrame({"node": list(level), "component": pdf["component"].iloc[0], "generation": pd.array(list(level.values()), dtype="Int32")}))
 
     done = rows.join(small, "component", "left_semi").groupBy("component").applyInPandas(run, "node string, component string, generation int")
     large = size.where(F.col("n") > group_nodes).select("component")
@@ -202,7 +203,7 @@ def shelf_pack(tiles: DataFrame, target: float, gap: float = 32.0) -> DataFrame:
                 xs.append(x)
                 ys.append(y)
                 x, shelf = x + w + gap, max(shelf, h)
-            yield b.assign(x=xs, y=ys)
+            yield plain(b.assign(x=xs, y=ys))
 
     order = [(F.col("width") * F.col("height")).desc(), F.col("height").desc(), F.col("width").desc(), F.col("id")]
     sorted_ = tiles.select("id", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")).orderBy(*order).coalesce(1)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweft.session import plain
+
 
 def inversions(values: list[int]) -> int:
     """Pairs out of order, equal ones not counted, by a Fenwick tree."""
@@ -120,7 +122,7 @@ def optimised_rows(placed: DataFrame, edges: DataFrame, most: int = 2_000) -> Da
         pairs = sorted(set(zip(*[pdf.dropna(subset=["p"])[c] for c in ("p", "id")])))
         best, before, after = optimise(order, pairs)
         out = [(g, n, i) for g, ns in best.items() for i, n in enumerate(ns)]
-        return pd.DataFrame(out, columns=["generation", "id", "position"]).assign(component=pdf["component"].iloc[0], before=before, after=after)[["component", "generation", "id", "position", "before", "after"]]
+        return plain(pd.DataFrame(out, columns=["generation", "id", "position"]).assign(component=pdf["component"].iloc[0], before=before, after=after)[["component", "generation", "id", "position", "before", "after"]])
 
     done = rows.groupBy("component").applyInPandas(run, "component string, generation int, id string, position int, before bigint, after bigint")
 

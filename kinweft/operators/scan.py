@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweft.session import plain
+
 PATTERNS = {
     "data_uri": r"data:image/[a-z0-9.+-]+;base64",
     "local_image": r"""(?i)(?:src|href)\s*=\s*["'](?!https?:|//|data:)[^"']+\.(?:png|jpe?g|gif|webp|avif)""",
@@ -47,6 +49,6 @@ def key_scan(docs: DataFrame, key: str, payload: str, wanted: tuple[str, ...] =
                     rows += [(k, at, v) for at, v in visit(json.loads(p), "$")]
                 except (TypeError, ValueError, RecursionError):
                     continue
-            yield pd.DataFrame(rows, columns=["key", "path", "value"])
+            yield plain(pd.DataFrame(rows, columns=["key", "path", "value"]))
 
     return docs.select(F.col(key).cast("string").alias("k"), F.col(payload).alias("p")).mapInPandas(run, "key string, path string, value string")

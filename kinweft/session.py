@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +40,8 @@ def id_key(c: Column | str) -> Column:
 def tasks(spark: SparkSession) -> int:
     """Tasks that can run at once, at least the shuffle partitions: for spreading Python work."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def plain(df: pd.DataFrame) -> pd.DataFrame:
+    """df with its text and nested columns as Python objects, empty ones too: other forms of them do not all reach Arrow."""
+    return df.astype({c: object for c, t in df.dtypes.items() if not (pd.api.types.is_bool_dtype(t) or pd.api.types.is_numeric_dtype(t) or pd.api.types.is_datetime64_any_dtype(t))})

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kinweft.session import tasks
+from kinweft.session import plain, tasks
 
 SCHEMA = "key string, at timestamp, allowed boolean, retry_after int"
 
@@ -48,7 +48,7 @@ def rate_limit(arrivals: DataFrame, limit: int, window_seconds: int) -> DataFram
                 state, allowed, seconds = step(state, t, limit, window)
                 ok.append(allowed)
                 wait.append(seconds)
-            yield b.drop(columns="us").assign(allowed=ok, retry_after=wait)
+            yield plain(b.drop(columns="us").assign(allowed=ok, retry_after=wait))
 
     rows = arrivals.select(F.col("key").cast("string").alias("key"), F.col("at").cast("timestamp").alias("at"), F.col("order").cast("bigint").alias("order"), F.unix_micros(F.col("at").cast("timestamp")).alias("us")).where("key is not null and at is not null")
     return rows.repartition(tasks(arrivals.sparkSession), "key").sortWithinPartitions("key", "at", "order").mapInPandas(run, "key string, at timestamp, order bigint, allowed boolean, retry_after int")
@@ -75,7 +75,7 @@ def rate_limit_stream(arrivals: DataFrame, limit: int, window_seconds: int) -> D
             wait.append(seconds)
         state.update(now)
         state.setTimeoutDuration(window_seconds * 1000)
-        yield pd.DataFrame({"key": key[0], "at": rows["at"].values, "allowed": ok, "retry_after": pd.array(wait, dtype="Int32")})
+        yield plain(pd.DataFrame({"key": key[0], "at": rows["at"].values, "allowed": ok, "retry_after": pd.array(wait, dtype="Int32")}))
 
     rows = arrivals.select(F.col("key").cast("string").alias("key"), F.col("at").cast("timestamp").alias("at")).where("key is not null and at is not null")
     return rows.groupBy("key").applyInPandasWithState(run, SCHEMA, "count bigint, end bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
