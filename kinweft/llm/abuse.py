@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweft.llm.spread import spread
-from kinweft.llm.words import plain
+from kinweft.llm.words import plain as unmarked
+from kinweft.session import plain
 
 BITS = 20
 MAX_LABELS = 200_000
@@ -54,7 +55,7 @@ _WORDISH = re.compile(r"[^\w*#]")
 
 def utterances(text: str) -> list[str]:
     """The utterances of a text: up to a full stop or an empty line; wrapped lines go on."""
-    text = _LONE.sub(" ", _QUOTED.sub("", _STARRED.sub(r"\2", plain(text)).replace("\r\n", "\n").replace("\r", "\n")))
+    text = _LONE.sub(" ", _QUOTED.sub("", _STARRED.sub(r"\2", unmarked(text)).replace("\r\n", "\n").replace("\r", "\n")))
     return [u for u in _UTTERANCE.split(text) if u and not u.isspace()]
 
 
@@ -279,7 +280,8 @@ def _shapes():
                     count[s] += 1
                     if s not in example or u < example[s]:
                         example[s] = u
-            yield pd.DataFrame({"shape": list(count), "n": list(count.values()), "example": [example[s][:400] for s in count]})
+            rows = [(s, n, example[s]) for s, n in count.items()]
+            yield plain(pd.DataFrame(rows, columns=["shape", "n", "example"]))
 
     return run
 

@@ -23,7 +23,7 @@ from kinweft.llm.names import parse
 from kinweft.llm.spread import spread
 from kinweft.operators.components import components
 from kinweft.scratch import Scratch
-from kinweft.session import id_key, tasks
+from kinweft.session import id_key, plain, tasks
 
 RADIUS = 2
 #: Attributes that one animal never has two values of.
@@ -46,7 +46,7 @@ def readings(names: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [(i, *p) for i, n in zip(b["id"], b["name"]) for p in parse(n)]
-            yield pd.DataFrame(got, columns=["id", "given", "house", "ordinal", "kind"])
+            yield plain(pd.DataFrame(got, columns=["id", "given", "house", "ordinal", "kind"]))
 
     return spread(names).mapInPandas(run, "id string, given string, house string, ordinal int, kind string").distinct()
 
