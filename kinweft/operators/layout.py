@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweft.scratch import Scratch
 from kinweft.session import plain
 
+#: Families of up to so many nodes are ordered in one task, larger ones by joins, with equal results.
+ALONE = 50_000
+#: Over so many nodes the search has fewer passes.
+LARGE, PASSES, FEWER = 500, 8, 5
+
 
 def inversions(values: list[int]) -> int:
     """Pairs out of order, equal ones not counted, by a Fenwick tree."""
@@ -64,13 +71,14 @@ def sweep(rows: dict[int, list[str]], edges: list[tuple[str, str]], passes: int
     best, least = rows, crossings(rows, edges)
     current = {g: list(ns) for g, ns in rows.items()}
     for k in range(passes):
+        fixed = {n: i for ns in current.values() for i, n in enumerate(ns)}
         for g in sorted(current, reverse=bool(k % 2)):
-            fixed = {n: i for ns in current.values() for i, n in enumerate(ns)}
             score = {}
             for n in current[g]:
                 ps = [fixed[m] for m in near.get(n, ()) if m in level and (level[m] < g if k % 2 == 0 else level[m] > g)]
                 score[n] = None if not ps else sum(ps) / len(ps) if k % 2 == 0 else median(ps)
             current[g] = sorted(current[g], key=lambda n: (score[n] is None, score[n] or 0, fixed[n]))  # noqa: B023
+            fixed.update((n, i) for i, n in enumerate(current[g]))
         c = crossings(current, edges)
         if c < least:
             best, least = {g: list(ns) for g, ns in current.items()}, c
@@ -96,23 +104,78 @@ def swap_neighbours(rows: dict[int, list[str]], edges: list[tuple[str, str]], ro
     return rows
 
 
-def optimise(rows: dict[int, list[str]], edges: list[tuple[str, str]], large: int = 500) -> tuple[dict[int, list[str]], int, int]:
+def optimise(rows: dict[int, list[str]], edges: list[tuple[str, str]], large: int = LARGE) -> tuple[dict[int, list[str]], int, int]:
     """The best of the given order, its sweeps and swaps, with the crossings before and after."""
     before = crossings(rows, edges)
-    best = sweep(rows, edges, 4 if sum(map(len, rows.values())) > large else 8)
+    best = sweep(rows, edges, FEWER if sum(map(len, rows.values())) > large else PASSES)
     if sum(map(len, rows.values())) <= 60:
         best = swap_neighbours(best, edges)
     return best, before, crossings(best, edges)
 
 
-def optimised_rows(placed: DataFrame, edges: DataFrame, most: int = 2_000) -> DataFrame:
+def crossing_counts(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(component, c): what ``crossings`` counts, for rows (component, generation, id, position) and links (component, p, id).
+
+    Pairs out of order are counted bit by bit of the lower end: two ends differ first at one bit,
+    and a window over the pieces with the same bits above it counts the ones before each zero.
+    """
+    size = F.count("*").over(Window.partitionBy("component", "generation"))
+    end = lambda n, k: rows.select("component", F.col("id").alias(n), F.struct("generation", (F.col("position") / F.greatest(F.lit(1), size - 1)).alias("place")).alias(k))
+    x = links.join(end("p", "a"), ["component", "p"]).join(end("id", "b"), ["component", "id"]).where("a.generation != b.generation")
+    x = x.select("component", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).withColumn("span", F.expr("b.generation - a.generation"))
+    x = x.withColumn("k", F.explode(F.expr("sequence(0, span - 1)")))
+    x = x.select("component", F.expr("a.generation + k").alias("band"), F.expr("a.place + (b.place - a.place) * k / span").alias("s"), F.expr("a.place + (b.place - a.place) * (k + 1) / span").alias("e"))
+    x = x.withColumn("v", F.rint(F.col("e") * 1e7).cast("bigint")).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    x = x.withColumn("above", F.expr("shiftright(v, bit + 1)")).withColumn("one", F.expr("shiftright(v, bit) & 1"))
+    w = Window.partitionBy("component", "band", "bit", "above").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = x.withColumn("ones", F.sum("one").over(w)).where("one = 0").groupBy("component").agg(F.sum("ones").alias("c"))
+    return rows.select("component").distinct().join(counted, "component", "left").fillna(0, ["c"])
+
+
+def _swept(placed: DataFrame, edges: DataFrame, passes: int, store: Scratch) -> DataFrame:
+    """``sweep`` for families of any size: each row is one join and one window over its neighbours' places."""
+    gens = sorted(r["generation"] for r in placed.select("generation").distinct().collect())
+    start = F.row_number().over(Window.partitionBy("component", "generation").orderBy("id")) - 1
+    best = store.write(placed.select("component", "generation", "id", start.alias("position")), "rows")
+    member = placed.select("component", "id", "generation")
+    links = edges.select(F.col("subject").alias("p"), F.col("object").alias("id")).distinct().join(member, "id").join(member.select("component", F.col("id").alias("p"), F.col("generation").alias("gp")), ["component", "p"])
+    links = store.write(links, "links")
+    near = links.select("component", F.col("p").alias("id"), F.col("gp").alias("g"), F.col("id").alias("m"), F.col("generation").alias("gm"))
+    near = store.write(near.unionByName(links.select("component", "id", F.col("generation").alias("g"), F.col("p").alias("m"), F.col("gp").alias("gm"))), "near")
+    links = links.select("component", "p", "id")
+    least = store.write(crossing_counts(best, links).withColumn("before", F.col("c")), "least")
+    rows = {g: best.where(F.col("generation") == g) for g in gens}
+    for k in range(passes):
+        done: list[DataFrame] = []
+        for g in reversed(gens) if k % 2 else gens:
+            if done:
+                fixed = reduce(DataFrame.unionByName, done).select("component", F.col("id").alias("m"), F.col("position").alias("at"))
+                ps = near.where((F.col("g") == g) & (F.col("gm") > g if k % 2 else F.col("gm") < g)).join(fixed, ["component", "m"])
+                score = ps.groupBy("component", "id").agg((F.median("at") if k % 2 else F.avg("at")).alias("score"))
+                w = Window.partitionBy("component").orderBy(F.col("score").isNull(), "score", "position")
+                row = rows[g].join(score, ["component", "id"], "left").select("component", "generation", "id", (F.row_number().over(w) - 1).alias("position"))
+                rows[g] = store.write(row, f"row-{g}")
+            done.append(rows[g])
+        now = reduce(DataFrame.unionByName, rows.values())
+        c = crossing_counts(now, links).withColumnRenamed("c", "new")
+        least = store.write(least.join(c, "component").select("component", F.least("c", "new").alias("c"), "before", (F.col("new") < F.col("c")).alias("better")), "least")
+        better = least.where("better").select("component")
+        best = store.write(best.join(better, "component", "left_anti").unionByName(now.join(better, "component", "left_semi")), "rows")
+    return best.join(least.select("component", "before", F.col("c").alias("after")), "component").select("component", "generation", "id", "position", "before", "after")
+
+
+def optimised_rows(placed: DataFrame, edges: DataFrame, most: int | None = None, alone: int = ALONE) -> DataFrame:
     """(component, generation, id, position, before, after) for placed (component, generation, id) and (subject, object).
 
-    A family is ordered in one task. Families of more than most nodes keep their order by id, which
-    a window gives, and have null crossings: the search within a family is sequential.
+    Every family is ordered: those of up to alone nodes in one task, larger ones by joins and
+    windows, with the same result (neighbours are swapped in families of up to 60 nodes). Only
+    where most is given do families of more nodes keep their order by id and null crossings.
     """
+    store = Scratch(placed.sparkSession, "layout")
+    placed, edges = store.write(placed.select("component", "generation", "id"), "placed"), store.write(edges.select("subject", "object"), "edges")
     size = placed.groupBy("component").agg(F.count("*").alias("n"))
-    small = placed.join(size.where(F.col("n") <= most), "component")
+    sized = placed.join(size if most is None else size.where(F.col("n") <= most), "component")
+    small = sized.where(F.col("n") <= alone)
     links = edges.select(F.col("subject").alias("p"), F.col("object").alias("id"))
     rows = small.select("component", "generation", "id").join(links, "id", "left")
 
@@ -124,12 +187,15 @@ def optimised_rows(placed: DataFrame, edges: DataFrame, most: int = 2_000) -> Da
         out = [(g, n, i) for g, ns in best.items() for i, n in enumerate(ns)]
         return plain(pd.DataFrame(out, columns=["generation", "id", "position"]).assign(component=pdf["component"].iloc[0], before=before, after=after)[["component", "generation", "id", "position", "before", "after"]])
 
-    done = rows.groupBy("component").applyInPandas(run, "component string, generation int, id string, position int, before bigint, after bigint")
-
-
-    big = placed.join(size.where(F.col("n") > most), "component")
-    kept = big.select("component", "generation", "id", (F.row_number().over(Window.partitionBy("component", "generation").orderBy("id")) - 1).alias("position"), F.lit(None).cast("bigint").alias("before"), F.lit(None).cast("bigint").alias("after"))
-    return done.unionByName(kept)
+    out = rows.groupBy("component").applyInPandas(run, "component string, generation int, id string, position int, before bigint, after bigint")
+    for few, passes in ((True, FEWER), (False, PASSES)):
+        big = store.write(sized.where((F.col("n") > alone) & ((F.col("n") > LARGE) == few)).drop("n"), "big")
+        if not big.isEmpty():
+            out = out.unionByName(_swept(big, edges, passes, store))
+    if most is not None:
+        kept = placed.join(size.where(F.col("n") > most), "component")
+        out = out.unionByName(kept.select("component", "generation", "id", (F.row_number().over(Window.partitionBy("component", "generation").orderBy("id")) - 1).alias("position"), F.lit(None).cast("bigint").alias("before"), F.lit(None).cast("bigint").alias("after")))
+    return out
 
 
 def barycenter_rank(children: DataFrame, parents: DataFrame) -> DataFrame:

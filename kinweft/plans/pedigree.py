@@ -223,7 +223,7 @@ def layout_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Each family's rows in the order the optimiser leaves them, with the crossings before and after."""
     edges = _edges(spark, sf, gr.GENERATION_TYPES)
     placed = _levels(spark, sf).where("generation is not null").select("component", "generation", F.col("node").alias("id"))
-    return lo.optimised_rows(placed, edges, 300)
+    return lo.optimised_rows(placed, edges)
 
 
 @REG.add(

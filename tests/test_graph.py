@@ -79,6 +79,21 @@ def test_optimised_rows(spark):
     assert {r["before"] for r in lo.optimised_rows(placed, e, 1).where("component = 'k'").collect()} == {None}
 
 
+def test_large_families_are_swept_too(spark):
+    rng = random.Random(8)
+    size = 22
+    ids = {k: [[f"{k}{g}-{i:02}" for i in range(size)] for g in range(4)] for k in "kl"}
+    placed = spark.createDataFrame([(k, g, n) for k, gs in ids.items() for g, ns in enumerate(gs) for n in ns] + [("z", 0, "z")], "component string, generation int, id string")
+    links = {(rng.choice(gs[g]), rng.choice(gs[min(3, g + rng.choice((1, 1, 2)))])) for gs in ids.values() for g in range(3) for _ in range(25)}
+    e = edges(spark, *((a, b, M) for a, b in sorted(links)))
+    one = rows(lo.optimised_rows(placed, e))
+    assert rows(lo.optimised_rows(placed, e, alone=60)) == one
+    assert all(r[4] > r[5] for r in one if r[0] != "z")
+    wide = spark.createDataFrame([("w", g, f"{g}-{i:04}") for g in range(2) for i in range(1_200)], "component string, generation int, id string")
+    turned = edges(spark, *((f"0-{i:04}", f"1-{1199 - i:04}", M) for i in range(1_200)))
+    assert {(r["before"], r["after"]) for r in lo.optimised_rows(wide, turned).select("before", "after").distinct().collect()} == {(1_200 * 1_199 // 2, 0)}
+
+
 def test_geometry_against_brute_force(spark):
     rng = random.Random(4)
     s = [(i, i % 3, float(rng.randrange(2000)), float(rng.randrange(2000)), float(rng.randrange(2000)), float(rng.randrange(2000))) for i in range(40)] + [(99, 5, 0.0, 0.0, 0.0, 0.0)]
