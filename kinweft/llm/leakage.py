@@ -4,7 +4,9 @@ Method: the words of each shard of the corpus become an FM-index; the phrases of
 backward-searched through its wavelet ranks and located by sampled suffix positions; the places
 of one item in one document are merged into spans. Where enough phrases of an item meet in a
 document, the spans are aligned with the item's statements word by word, so that small changes do
-not hide a passage and a text of like build with other facts does not count as one.
+not hide a passage and a text of like build with other facts does not count as one. The item is
+aligned as a whole and each statement by itself at each of its places, so that neither another
+order nor a second copy hides anything.
 
 The corpus is read once per block of items, whole texts, without a shuffle of its own; a shard
 holds at most ``SHARD_WORDS`` words of it in memory at a time.
@@ -71,13 +73,13 @@ class Items:
         self.places = list(self.phrases.values())
 
 
-def align(doc: list[str], item: list[list[str]], facts: set[str]) -> tuple[float, list[tuple[int, int]]]:
-    """The share of the statements' words that doc carries, and where it carries them."""
+def align(doc: list[str], item: list[list[str]], facts: set[str]) -> list[tuple[int, list[int], int, int]]:
+    """(statement, its words' places in the item, start, end) of what doc carries of the item in its order."""
     flat = [w for s in item for w in s]
     blocks = [b for b in SequenceMatcher(None, doc, flat, autojunk=False).get_matching_blocks() if b.size]
     got: dict[int, int] = {b.b + k: b.a + k for b in blocks for k in range(b.size) if b.size > 1 or flat[b.b] in facts or _between(b, blocks)}
-    share, spans, start = 0, [], 0
-    for s in item:
+    out, start = [], 0
+    for k, s in enumerate(item):
         mine = [j for j in range(start, start + len(s)) if j in got]
         start += len(s)
         if len(mine) < 3:
@@ -87,9 +89,47 @@ def align(doc: list[str], item: list[list[str]], facts: set[str]) -> tuple[float
         held = sum(j in got or _misspelt(j, flat[j], got, doc) for j in named)
         run = max(len(list(g)) for g in _runs(mine, got))
         if len(mine) >= 0.5 * len(inside) and (2 * held > len(named) if named else run >= LONG_RUN):
-            share += len(mine)
-            spans.append((got[mine[0]], got[mine[-1]] + 1))
-    return share / len(flat), spans
+            out.append((k, mine, got[mine[0]], got[mine[-1]] + 1))
+    return out
+
+
+def carried(doc: list[str], hits: set[tuple[int, int]], item: list[list[str]], facts: set[str]) -> tuple[float, list[tuple[int, int]]]:
+    """The share of the item's words that doc carries, each counted once, and all spans; hits are (place in doc, place in item).
+
+    A passage of the document stands for one statement, the one with most of its words there.
+    """
+    n = sum(map(len, item))
+    low, high = max(0, min(p for p, _ in hits) - 2 * n), min(len(doc), max(p for p, _ in hits) + 2 * n)
+    found = [(k, mine, low + x, low + y) for k, mine, x, y in align(doc[low:high], item, facts)]
+    start = 0
+    for k, s in enumerate(item):
+        slack = len(s) // 2 + PHRASE
+        begins = sorted({p - (j - start) for p, j in hits if start - PHRASE < j < start + len(s)})
+        for a, b in _places(begins, slack):
+            a, b = max(0, a - slack), min(len(doc), b + len(s) + slack)
+            found += [(k, [start + j for j in mine], a + x, a + y) for _, mine, x, y in align(doc[a:b], [s], facts)]
+        start += len(s)
+    held: set[int] = set()
+    spans: list[tuple[int, int]] = []
+    taken: dict[int, int] = {}
+    for k, mine, a, b in sorted(found, key=lambda f: (-len(f[1]), f[0], f[2])):
+        if 2 * sum(taken.get(p, k) != k for p in range(a, b)) < b - a:
+            held.update(mine)
+            spans.append((a, b))
+            for p in range(a, b):
+                taken.setdefault(p, k)
+    return len(held) / n, spans
+
+
+def _places(begins: list[int], slack: int) -> Iterator[tuple[int, int]]:
+    """Sorted beginnings in groups, each within slack of its first."""
+    k = 0
+    while k < len(begins):
+        first = begins[k]
+        while k < len(begins) and begins[k] <= first + slack:
+            last = begins[k]
+            k += 1
+        yield first, last
 
 
 def _between(b, blocks) -> bool:
@@ -162,11 +202,9 @@ def search_shard(docs: list[tuple[int, list[str]]], items: Items) -> Iterator[tu
     for (d, i), hits in seen.items():
         if len({j for _, j in hits}) < min(LEAST_PHRASES, len(items.flat[i]) - PHRASE + 1):
             continue
-        ws, reach = docs[d][1], 2 * len(items.flat[i])
-        a, b = max(0, min(p for p, _ in hits) - reach), min(len(ws), max(p for p, _ in hits) + reach)
-        share, spans = align(ws[a:b], items.statements[i], items.facts)
+        share, spans = carried(docs[d][1], hits, items.statements[i], items.facts)
         if share >= LEAST_SHARE:
-            yield docs[d][0], i, share, merged([(a + x, a + y) for x, y in spans])
+            yield docs[d][0], i, share, merged(spans)
 
 
 def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

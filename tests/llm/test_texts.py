@@ -64,6 +64,19 @@ def test_leaks_and_look_alikes(spark):
     assert list(search_shard([], Items([(1, ITEM)]))) == [] and merged([(5, 9), (0, 3), (4, 6)]) == [(0, 9)]
 
 
+def test_pieces_in_another_order_and_second_copies():
+    a, b = ITEM.split(". ")
+    c, d = OTHER.split(". ")
+    items = Items([(1, ". ".join((a, b.rstrip("."), c, d)))])
+    filler = "and then the keeper went home for the night " * 3
+    ws = lambda *parts: words(f" {filler} ".join(parts))
+    docs = [(1, ws(filler, b, a)), (2, ws(filler, d, c, b, a)), (3, ws(filler, a, b, a)), (4, ws(filler, f"{a}. {a}", b))]
+    got = {r[0]: r[2:] for r in search_shard(docs, items)}
+    n = [len(words(x)) for x in (a, b, c, d)]
+    assert got[1][0] == (n[0] + n[1]) / sum(n) and got[2][0] == 1 and len(got[2][1]) == 4
+    assert sum(y - x for x, y in got[3][1]) == 2 * n[0] + n[1] and sum(y - x for x, y in got[4][1]) == 2 * n[0] + n[1]
+
+
 def test_words():
     assert words("a<br/>b <i>Wört­er</i> &amp; x_y") == ["a", "b", "worter", "x", "y"] and words(None) == [] and words("\\u00e9t\\u00e9") == ["ete"]
 
