@@ -6,21 +6,28 @@ their parent, at the summed distance, so a chain of length n needs log n rounds
 What can never be peeled are loops. The removed nodes then get depth, root, path and state in
 reverse order of peeling, each from the node it was hung on when it went.
 
-A round shuffles the nodes that are left, which shrink geometrically; nothing is collected.
+A round shuffles the nodes that are left, which shrink geometrically. Once at most ``SMALL`` nodes
+hang on others, one task peels them, with the same result; nothing is collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweft.scratch import Scratch
+from kinweft.session import plain
 
 MAX_ROUNDS = 200
+#: Nodes that one task peels by itself, and ids of paths that it hands on at once.
+SMALL, BATCH = 300_000, 200_000
 
 
 def hierarchy(
-    edges: DataFrame, key: str = "tree", parent: str = "parent", child: str = "child", with_path: bool = False
+    edges: DataFrame, key: str = "tree", parent: str = "parent", child: str = "child", with_path: bool = False, small: int = SMALL
 ) -> DataFrame:
     """One row for each node of each tree: (key, node, root, depth, state, subtree_size[, path]).
 
@@ -56,8 +63,9 @@ def hierarchy(
     )
     is_open = F.col("p").isNotNull() & (F.col("p") != F.col("v"))
     removed: list[tuple[DataFrame, DataFrame]] = []
+    left, n = state.where(is_open).count(), state.count()
     for r in range(MAX_ROUNDS):
-        if state.where(is_open).isEmpty():
+        if left <= small:
             break
         coin = lambda c: F.pmod(F.xxhash64(c, F.lit(r)), F.lit(2)) == 1  # noqa: B023, E731
         kids = state.where(is_open).groupBy("k", F.col("p").alias("v")).agg(F.count("*").alias("n"), F.min("v").alias("below"), F.min("carry").alias("bcarry"))
@@ -81,22 +89,22 @@ def hierarchy(
         removed.append((marked.where("how = 'leaf'"), marked.where("how = 'chain'")))
         sent = marked.where("how = 'leaf'").groupBy("k", F.col("p").alias("v")).agg(F.sum(F.col("sz") + F.col("carry")).alias("got"))
         state = marked.where("how is null").drop("how", "below", "bcarry").join(sent, ["k", "v"], "left").withColumn("sz", F.col("sz") + F.coalesce("got", F.lit(0))).drop("got")
+        state = store.write(state, f"left{r}")
+        left = state.where(is_open).count()
     else:
         raise RuntimeError(f"hierarchy: not peeled after {MAX_ROUNDS} rounds")
-    loop = F.col("p").isNotNull()
-    parts = [
-        store.write(
-            state.select(
-                "k", "v",
-                F.when(loop, F.col("low")).otherwise(F.col("v")).alias("root"),
-                F.lit(0).alias("depth"),
-                F.when(loop, "on_cycle").otherwise("rooted").alias("state"),
-                F.col("sz").alias("size"),
-                F.array("v").alias("path"),
-            ),
-            "tops",
-        )
-    ]
+    # What hangs on others, and what they hang on, is peeled in one task; the rest are tops and closed loops.
+    if n <= small:
+        parts = [store.write(_peeled(state, with_path), "tops")]
+    else:
+        held = state.where(is_open).select("k", F.col("p").alias("v")).distinct()
+        loop = F.col("p").isNotNull()
+        alone = state.where(~is_open).join(held, ["k", "v"], "left_anti").select(
+            "k", "v", F.when(loop, F.col("low")).otherwise(F.col("v")).alias("root"), F.lit(0).alias("depth"),
+            F.when(loop, "on_cycle").otherwise("rooted").alias("state"), F.col("sz").alias("size"), F.array("v").alias("path"),
+        )
+        tied = state.where(is_open).unionByName(state.where(~is_open).join(held, ["k", "v"], "left_semi"))
+        parts = [store.write(alone.unionByName(_peeled(tied, with_path)), "tops")]
     none = F.array().cast(parts[0].schema["path"].dataType)
     for r in range(len(removed) - 1, -1, -1):
         known = _union(parts)
@@ -118,6 +126,68 @@ def hierarchy(
     return _union(parts).select(*cols, *([F.col("path")] if with_path else []))
 
 
+def _peeled(state: DataFrame, with_path: bool) -> DataFrame:
+    """(k, v, root, depth, state, size, path) of the rows of state, by peeling in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = {(k, v): (p, w, sz, carry, low, frag) for b in batches for k, v, p, w, sz, carry, low, frag in zip(*(b[c].tolist() for c in ("k", "v", "p", "w", "sz", "carry", "low", "frag")))}
+        own = {n: n for n in rows}
+        up = {n: own[n[0], x[0]] if x[0] is not None and x[0] == x[0] else None for n, x in rows.items()}
+        kids = dict.fromkeys(rows, 0)
+        for p in up.values():
+            if p is not None:
+                kids[p] += 1
+        size = {n: x[2] for n, x in rows.items()}
+        peeled = []
+        ready = [n for n in rows if not kids[n]]
+        while ready:
+            n = ready.pop()
+            peeled.append(n)
+            p = up[n]
+            if p is not None:
+                size[p] += size[n] + rows[n][3]
+                kids[p] -= 1
+                if not kids[p]:
+                    ready.append(p)
+        told: dict = {}
+        for n in rows:
+            if kids[n] and n not in told:
+                ring = [n]
+                while up[ring[-1]] != n:
+                    ring.append(up[ring[-1]])
+                low = min(rows[m][4] for m in ring)
+                told.update((m, (low, 0, "on_cycle")) for m in ring)
+        for n in reversed(peeled):
+            p = up[n]
+            if p is None:
+                told[n] = (n[1], 0, "rooted")
+            else:
+                root, depth, state_ = told[p]
+                told[n] = (root, depth + rows[n][1], "below_cycle" if state_ == "on_cycle" else state_)
+        out, held = [], 0
+        for n, (root, depth, state_) in told.items():
+            path: list = []
+            if with_path:
+                m = n
+                while told[m][2] != "on_cycle" and up[m] is not None:
+                    path += [m[1], *reversed(list(rows[m][5]))]
+                    m = up[m]
+                path = [*reversed(path + [m[1]])] if m != n else [m[1]]
+            out.append((*n, root, depth, state_, size[n], path))
+            held += 1 + len(path)
+            if held >= BATCH:
+                yield _told(out)
+                out, held = [], 0
+        yield _told(out)
+
+    node, k = state.schema["v"].dataType.simpleString(), state.schema["k"].dataType.simpleString()
+    return state.coalesce(1).mapInPandas(run, f"k {k}, v {node}, root {node}, depth int, state string, size bigint, path array<{node}>")
+
+
+def _told(rows: list[tuple]) -> pd.DataFrame:
+    return plain(pd.DataFrame(rows, columns=["k", "v", "root", "depth", "state", "size", "path"]))
+
+
 def descendants(edges: DataFrame, key: str = "tree", parent: str = "parent", child: str = "child") -> DataFrame:
     """(key, node, descendant, distance): every node with every node below it, as rows.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweft.operators.flatten import related_tables
-from kinweft.operators.hierarchy import descendants, hierarchy
+from kinweft.operators.hierarchy import conflicting_parents, descendants, hierarchy
 from kinweft.operators.orphans import orphans, parent_list, reference_list
 from kinweft.plans.base import Registry
 from kinweft.session import id_key, table
@@ -68,6 +68,12 @@ def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("rel_type", F.col("node").alias("animal_id"), F.col("descendant").alias("descendant_id"), F.col("distance").cast("int").alias("distance"))
 
 
+@REG.add("p2_conflicts", f"with {_EDGES}\nselect rel_type, v animal_id, count(*) parents from edges where p is not null and v is not null group by all having count(*) > 1")
+def p2_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """The animals with more than one parent of a type, whose other links no path follows."""
+    return conflicting_parents(lineage_edges(spark, sf), key="rel_type").withColumnRenamed("node", "animal_id")
+
+
 @REG.add("p4_found")
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     tables = related_tables(table(spark, sf, "atlas_payloads"))

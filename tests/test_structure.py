@@ -39,8 +39,10 @@ def test_hierarchy_against_brute_force(spark):
     edges = [("m", f"n{rng.randrange(i) if i > 3 else (i + 1) % 3}", f"n{i}") for i in range(60)]
     edges += [("f", f"c{i}", f"c{i + 1}") for i in range(40)] + [("f", "x", "x"), ("f", "x", "y"), ("f", None, "z"), ("f", "z", None)]
     edges += edges[:5]
-    got = {(r["tree"], r["node"]): (r["root"], r["depth"], r["state"]) for r in hierarchy(spark.createDataFrame(edges, EDGE)).collect()}
-    assert got == brute(edges)
+    e = spark.createDataFrame(edges, EDGE)
+    told = [{(r["tree"], r["node"]): (r["root"], r["depth"], r["state"], r["subtree_size"], tuple(r["path"])) for r in hierarchy(e, with_path=True, small=small).collect()} for small in (0, 20, 1000)]
+    assert {n: x[:3] for n, x in told[0].items()} == brute(edges)
+    assert told[0] == told[1] == told[2]
 
 
 def test_hierarchy_paths_sizes_and_descendants(spark):
