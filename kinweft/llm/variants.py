@@ -13,6 +13,7 @@ insertions from its pivot: no ball grows with the rows, even if a third of them
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -77,12 +78,13 @@ def radius_join(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     Where both orders of a name are points, a need only stand in the alphabetical one.
     """
     points = points.repartition(tasks(points.sparkSession), "p")
-    b = balls(points, ["p", "ordinal"], radius)
-    x = b.where("given <= house").select(F.col("p").alias("a"), "ordinal", "ball", F.col("given").alias("ga"), F.col("house").alias("ha"))
-    y = b.select(F.col("p").alias("b"), "ordinal", "ball", F.col("given").alias("gb"), F.col("house").alias("hb"))
+    b = balls(points, ["p", "ordinal"], radius).withColumns({"first": F.col("given") <= F.col("house"), "never": F.length("given") == 0})
+    x = b.select("ball", "ordinal", F.col("p").alias("a"), F.col("given").alias("ga"), F.col("house").alias("ha"), "first", F.col("never").alias("na"))
+    y = b.select("ball", "ordinal", F.col("p").alias("b"), F.col("given").alias("gb"), F.col("house").alias("hb"), F.col("first").alias("fb"), "never")
     far = F.levenshtein("ga", "gb") + F.levenshtein("ha", "hb")
-    # A generated row costs nothing in Spark's estimate: without the hint the balls would be broadcast.
-    return x.join(y.hint("merge"), ["ball", "ordinal"]).where("a != b").where(far <= radius).select("a", "b").distinct()
+    # A condition on both sides at once stays above the shuffle, so that one shuffle serves both. A generated
+    # row costs nothing in Spark's estimate: without the hint the balls would be broadcast.
+    return x.join(y.hint("merge"), ["ball", "ordinal"]).where(F.col("first") | F.col("never")).where("a != b").where(far <= radius).select("a", "b").distinct()
 
 
 def _profile(traits: DataFrame, key: str) -> DataFrame:
@@ -103,9 +105,9 @@ def linked(rows: DataFrame) -> DataFrame:
 
     Two ids are linked where a reading of a name of one lies within ``RADIUS`` of one of the
     other, with the same ordinal, and no trait (taxon, sex, country) speaks against it; links are
-    transitive. Ids whose names are all short (an initial or a pet form) are linked to the one
-    animal that their house, ordinal, first letters and traits leave, or to one another if they
-    read the same; where several are left, they stay alone. Ids without any readable name stay
+    transitive. Ids whose names are all short (an initial, a pet form, a single word) are linked to
+    the one animal that their house, ordinal, letters and traits leave, or to one another if they
+    read the same and their traits agree (a null agrees where the others leave one animal). Ids without any readable name stay
     alone too. Repeated rows of one id are one record; a null id is no record. Extra columns are
     ignored; an empty table gives no rows.
     """
@@ -134,28 +136,44 @@ def linked(rows: DataFrame) -> DataFrame:
 
 
 def _short(store: Scratch, read: DataFrame, traits: DataFrame, placed: DataFrame, open_: DataFrame) -> DataFrame:
-    """Places the ids that have short names only, and gives each group its smallest id."""
+    """Places the ids that have short names only, and gives each group its smallest id.
+
+    Groups are gathered by what a short name can know of them (letters, house, ordinal, traits) and
+    come with their smallest and largest number, so that a house or first letters that a third of
+    the names have make no more rows than there are traits.
+    """
     loose = read.join(placed, "id", "left_anti").where("kind not in ('full', 'open')")
-    full = read.where("kind in ('full', 'open')").join(placed, "id").select("g", "given", "house", "ordinal").distinct()
-    groups = _profile(placed.join(traits, "id"), "g").alias("x")
-    with_house = loose.where("house != ''")
-    # The house within one edit, by the same pivots; the given name by its first letters.
-    one = lambda df, keep: df.select(*keep, "given", "house", "ordinal", F.explode(dropped(F.col("house"), 1)).alias("ball"))
-    a = one(with_house, ["id", "kind"]).select("id", "kind", F.col("given").alias("ga"), F.col("house").alias("ha"), "ordinal", "ball")
-    b = one(full, ["g"]).select("g", F.col("given").alias("gb"), F.col("house").alias("hb"), "ordinal", "ball")
-    housed = a.join(b.hint("merge"), ["ordinal", "ball"]).where((F.levenshtein("ha", "hb") <= 1) & F.expr("startswith(gb, ga)"))
-    single = loose.where("house = '' and length(given) >= 4")
-    alone = single.select("id", F.col("given").alias("ga"), "ordinal", F.substring("given", 1, 4).alias("head")).join(
-        full.select("g", F.col("given").alias("gb"), "ordinal", F.substring("given", 1, 4).alias("head")), ["ordinal", "head"]
-    ).where(F.expr("startswith(gb, ga)"))
-    fits = housed.select("id", "g").unionByName(alone.join(housed, "id", "left_anti").select("id", "g")).distinct()
-    t = traits.select("id", *[F.col(c).alias(f"{n}_{c}") for c in TRAITS for n in ("lo", "hi")]).alias("y")
-    fits = fits.alias("f").join(groups, F.col("f.g") == F.col("x.g")).join(t, F.col("f.id") == F.col("y.id")).where(_agree("x", "y"))
-    only = fits.groupBy("f.id").agg(F.min("f.g").alias("g"), F.max("f.g").alias("g2")).where("g = g2").select("id", "g")
+    sides = [f"{n}_{t}" for t in TRAITS for n in ("lo", "hi")]
+    groups = _profile(placed.join(traits, "id"), "g")
+    full = read.where("kind in ('full', 'open')").join(placed, "id").select("g", "given", "house", "ordinal").distinct().join(groups, "g")
+    full = store.write(full, "full")
+    t = traits.select("id", *[F.col(c).alias(f"{n}_{c}") for c in TRAITS for n in ("lo", "hi")])
+
+    def kinds(known: DataFrame, by: list[str]) -> DataFrame:
+        return known.groupBy(*by, *sides).agg(F.min("g").alias("g1"), F.max("g").alias("g2"))
+
+    # Initials and pet forms: the house within one edit, by the same pivots; the given name by its first letters.
+    fits = []
+    for kind, head in (("initial", 1), ("pet", 3)):
+        mine = loose.where((F.col("kind") == kind) & (F.col("house") != "")).select("id", F.col("given").alias("ga"), F.col("house").alias("ha"), "ordinal", F.substring("given", 1, head).alias("head"))
+        theirs = kinds(full.withColumn("head", F.substring("given", 1, head)), ["head", "house", "ordinal", *(["given"] if kind == "pet" else [])])
+        one = lambda df, c: df.withColumn("ball", F.explode(dropped(F.col(c), 1)))
+        x = one(mine, "ha").join(one(theirs, "house").hint("merge"), ["ordinal", "head", "ball"]).where(F.levenshtein("ha", "house") <= 1)
+        fits.append((x if kind == "initial" else x.where(F.expr("startswith(given, ga)"))).select("id", "g1", "g2", *sides))
+    housed = store.write(reduce(DataFrame.unionByName, fits), "housed")
+    # Single words: a given name, or from four letters on, what one begins with.
+    single = loose.where("house = ''").join(housed.select("id").distinct(), "id", "left_anti").select("id", F.col("given").alias("ga"), "ordinal", F.substring("given", 1, 4).alias("head"))
+    given = kinds(full.withColumn("head", F.substring("given", 1, 4)), ["head", "given", "ordinal"])
+    alone = single.join(given.hint("merge"), ["ordinal", "head"]).where("ga = given or (length(ga) >= 4 and startswith(given, ga))").select("id", "g1", "g2", *sides)
+    named = lambda df, n: df.select("id", "g1", "g2", F.struct(*sides).alias(n))
+    both = named(housed.unionByName(alone), "x").join(t.select("id", F.struct(*sides).alias("y")), "id").where(_agree("x", "y"))
+    only = both.groupBy("id").agg(F.min("g1").alias("g"), F.max("g2").alias("g2")).where("g = g2").select("id", "g")
     kept = open_.join(only, "id", "left_anti")
-    rest = loose.join(only.unionByName(kept), "id", "left_anti").where("house != ''")
-    same = rest.join(traits, "id").select("id", F.xxhash64("given", "house", "ordinal", *[F.coalesce(c, F.lit("")) for c in TRAITS]).alias("g"))
-    same = same.groupBy("id").agg(F.min("g").alias("g"))
+    # The rest link to one another by equal readings, null traits agreeing where the others leave one animal.
+    rest = loose.join(only.unionByName(kept), "id", "left_anti").join(traits, "id")
+    whole = rest.groupBy("given", "house", "ordinal").agg(reduce(lambda a, c: a & c, [F.coalesce(F.min(c) == F.max(c), F.lit(True)) for c in TRAITS]).alias("whole"))
+    key = [F.when(F.col("whole"), F.lit("")).otherwise(F.coalesce(c, F.lit(""))) for c in TRAITS]
+    same = rest.join(whole, ["given", "house", "ordinal"]).groupBy("id").agg(F.min(F.xxhash64("given", "house", "ordinal", *key)).alias("g"))
     got = store.write(placed.unionByName(only).unionByName(kept).unionByName(same), "groups")
     lowest = got.groupBy("g").agg(F.min("id").alias("animal"))
     return traits.select("id").join(got.join(lowest, "g").select("id", "animal"), "id", "left").select("id", F.coalesce("animal", "id").alias("animal"))
