@@ -8,29 +8,32 @@ not hide a passage and a text of like build with other facts does not count as o
 aligned as a whole and each statement by itself at each of its places, so that neither another
 order nor a second copy hides anything.
 
-The corpus is read once per block of items, whole texts, without a shuffle of its own; a shard
-holds at most ``SHARD_WORDS`` words of it in memory at a time.
+The corpus is read once for every ``BLOCK_CHARS`` of items, whole texts, without a shuffle of its
+own; a shard holds at most ``SHARD_WORDS`` words of it in memory at a time.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweft.llm.fmindex import FMIndex
 from kinweft.llm.spread import spread
 from kinweft.llm.words import words
+from kinweft.scratch import Scratch
 
 SHARD_WORDS = 400_000
-BLOCK_ITEMS = 5_000
+#: Characters of items that are sent to the executors at once: some 100,000 items of the usual length.
+BLOCK_CHARS = 40_000_000
 PHRASE = 3
 #: Phrases of an item, at different places of it, that a document must share before it is aligned.
 LEAST_PHRASES = 3
@@ -44,31 +47,64 @@ _ANSWER = re.compile(r"^\W*(?:answer|antwort|réponse|respuesta|答え)\W", re.I
 SCHEMA = "doc_id bigint, item_id bigint, share double, spans array<struct<start:int,end:int>>"
 
 
+class Usage:
+    """How often sentences, words and phrases stand in all the test items, whatever block they come in.
+
+    Kept as counts of hashes, so that it stays small beside the items.
+    """
+
+    def __init__(self, rows: Iterable[tuple[int, str | None]]):
+        self.sentences: Counter[int] = Counter()
+        for _, t in rows:
+            self.sentences.update({_number(s) for s in _SENTENCE.split(t or "")})
+        self.words: Counter[str] = Counter()
+        self.phrases: Counter[int] = Counter()
+        self.n_items = self.n_statements = 0
+
+    def statements(self, text: str) -> list[list[str]]:
+        """The words of the item's own sentences, without questions and answers."""
+        own = [words(s) for s in _SENTENCE.split(text) if not (_QUESTION.search(s) or _ANSWER.match(s) or self.sentences[_number(s)] > 1)]
+        return [w for w in own if w]
+
+    def count(self, rows: Iterable[tuple[int, str | None]]) -> Usage:
+        for _, t in rows:
+            own = self.statements(t) if t and t.strip() else []
+            if own:
+                self.n_items += 1
+                self.n_statements += len(own)
+                self.words.update(w for s in own for w in set(s))
+                flat = [w for s in own for w in s]
+                self.phrases.update({_number(" ".join(flat[j : j + PHRASE])) for j in range(len(flat) - PHRASE + 1)})
+        return self
+
+    def rare(self, word: str) -> bool:
+        return self.words[word] <= max(3, self.n_statements // 200)
+
+    def telling(self, phrase: tuple[str, ...]) -> bool:
+        """A phrase that many items share says nothing by itself; its words still count when aligned."""
+        return self.phrases[_number(" ".join(phrase))] <= max(3, self.n_items // 100)
+
+
+def _number(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text)
+
+
 class Items:
     """The statements of a block of test items, their phrases and their facts."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], shared: dict[str, int] | None = None):
-        split = {i: _SENTENCE.split(t) for i, t in rows if t and t.strip()}
-        often = shared if shared is not None else Counter(s for ss in split.values() for s in set(ss))
-        self.statements: dict[int, list[list[str]]] = {}
-        for i, ss in split.items():
-            own = [words(s) for s in ss if not (_QUESTION.search(s) or _ANSWER.match(s) or often.get(s, 0) > 1)]
-            own = [w for w in own if w]
-            if own:
-                self.statements[i] = own
-        every = [s for v in self.statements.values() for s in v]
-        spread_ = Counter(w for s in every for w in set(s))
-        usual = max(3, len(every) // 200)
-        self.facts = {w for w, n in spread_.items() if n <= usual and not w.isdigit()}
-        self.number = {w: k + 2 for k, w in enumerate(sorted(spread_))}
+    def __init__(self, rows: list[tuple[int, str | None]], usage: Usage | None = None):
+        usage = usage or Usage(rows).count(rows)
+        split = {i: usage.statements(t) for i, t in rows if t and t.strip()}
+        self.statements: dict[int, list[list[str]]] = {i: own for i, own in split.items() if own}
+        vocabulary = {w for v in self.statements.values() for s in v for w in s}
+        self.facts = {w for w in vocabulary if usage.rare(w) and not w.isdigit()}
+        self.number = {w: k + 2 for k, w in enumerate(sorted(vocabulary))}
         self.flat = {i: [w for s in v for w in s] for i, v in self.statements.items()}
         at: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, w in self.flat.items():
             for j in range(len(w) - PHRASE + 1):
                 at[tuple(w[j : j + PHRASE])].append((i, j))
-        few = max(3, len(self.flat) // 100)
-        # A phrase that many items share says nothing by itself; its words still count when aligned.
-        self.phrases = {p: v for p, v in at.items() if len({i for i, _ in v}) <= few}
+        self.phrases = {p: v for p, v in at.items() if usage.telling(p)}
         self.table = np.array([[self.number[w] for w in p] for p in self.phrases], np.int64).reshape(-1, PHRASE)
         self.places = list(self.phrases.values())
 
@@ -207,7 +243,7 @@ def search_shard(docs: list[tuple[int, list[str]]], items: Items) -> Iterator[tu
             yield docs[d][0], i, share, merged(spans)
 
 
-def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, share, spans): the documents that carry a passage of a test item.
 
     share is the part of the words of the item's statements that the document carries; spans are
@@ -216,27 +252,32 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     nothing; repeated documents each get their rows; items are told apart by id, and a repeated
     item row counts once. Other columns are ignored, whatever their names. Without documents or
     items there are no rows.
+
+    What is usual among the items is counted over all of them; block_chars bounds what is sent to
+    the executors at once and changes no result.
     """
     docs = spread(documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text is not null"))
     rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
-    out, block = None, []
-    blocks: list[list[tuple[int, str]]] = []
-    shared: Counter[str] = Counter()
-    for r in rows.orderBy("i").toLocalIterator():
-        shared.update(set(_SENTENCE.split(r["t"])))
-        block.append((r["i"], r["t"]))
-        if len(block) == BLOCK_ITEMS:
-            blocks.append(block)
-            block = []
-    for b in [*blocks, block]:
-        own = docs.mapInPandas(_searcher(Items(b, shared)), SCHEMA)
-        out = own if out is None else out.unionByName(own)
+    rows = Scratch(documents.sparkSession, "items").write(rows.orderBy("i"), "items").orderBy("i")
+    stream = lambda: ((r["i"], r["t"]) for r in rows.toLocalIterator())
+    usage = Usage(stream())
+    usage.count(stream())
+    out, block, size = None, [], 0
+    for i, t in (*stream(), (None, None)):
+        if i is None or size + len(t) > block_chars:
+            sent = documents.sparkSession.sparkContext.broadcast(Items(block, usage))
+            own = docs.mapInPandas(_searcher(sent), SCHEMA)
+            out = own if out is None else out.unionByName(own)
+            block, size = [], 0
+        if i is not None:
+            block.append((i, t))
+            size += len(t)
     return out
 
 
-def _searcher(items: Items):
+def _searcher(sent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, size = [], 0
+        items, shard, size = sent.value, [], 0
         for b in batches:
             for d, t in zip(b["doc_id"], b["text"]):
                 ws = words(t)
@@ -254,5 +295,3 @@ def _frame(rows) -> pd.DataFrame:
     df = pd.DataFrame(list(rows), columns=["doc_id", "item_id", "share", "spans"])
     df["spans"] = pd.Series([[{"start": a, "end": b} for a, b in s] for s in df["spans"]], dtype=object)
     return df.astype({"doc_id": "Int64", "item_id": "Int64", "share": float})
-
-
