@@ -12,7 +12,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from kinweft.llm.spread import spread
 from kinweft.llm.words import plain as unmarked
+from kinweft.scratch import Scratch
 from kinweft.session import plain
 
 BITS = 20
@@ -34,6 +36,9 @@ CONDEMNED = 0.75
 MOST_PULL = 4.0
 #: Words and utterances whose reading and score a worker remembers.
 REMEMBERED = 200_000
+#: Steps of an epoch: of more examples, several make one step. Utterances that are scored at once.
+MAX_STEPS, BLOCK = 4_000, 20_000
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 # Letters of other scripts that look like Latin ones, and digits and signs used as letters.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнАЕОРСУХІЈЅКМТВНοαενικρτυ", "aeopcyxijsdhkmtbhAEOPCYXIJSKMTBHoaevikptu")
@@ -51,6 +56,9 @@ _KANA, _HAN, _DIGITS = re.compile(r"[ァ-ヺー]+"), re.compile(r"[぀-ゟ㐀-
 _NUMBER = re.compile(r"^[\d.,:]+$")
 _RUN = re.compile(r"(.)\1+")
 _WORDISH = re.compile(r"[^\w*#]")
+_LATIN = re.compile("[A-Za-z]")
+#: What any of the spaced-out words has: three single letters with one mark or blank between them.
+_LETTERS = re.compile(rf"(?<![^\W_])[^\W\d_][-_.·*~ ][^\W\d_][-_.·*~ ][^\W\d_]|[{_CJK}][.・·\-_*~][{_CJK}]")
 
 
 def utterances(text: str) -> list[str]:
@@ -61,24 +69,27 @@ def utterances(text: str) -> list[str]:
 
 def meant(utterance: str) -> list[str]:
     """The words of an utterance with look-alikes, signs, spacing and stretched letters undone."""
-    t = unicodedata.normalize("NFKC", utterance.translate(_INVISIBLE))
-    if any("a" <= c.lower() <= "z" for c in t):
-        t = t.translate(LOOKALIKES)
-    t = _SPACED.sub(lambda m: re.sub(r"[-_.·・*~ ]", "", m[0]), t.replace("_", " ") if " _" in t else t)
-    out = []
-    for w in _TOKEN.findall(t):
-        if _NUMBER.match(w):
-            out.append("0")
-            continue
-        if any(c.isdigit() or c in "$@!" for c in w) and sum(c.isalpha() or c in "$@" for c in w) >= 1 and not re.match(r"^\d+[a-z]{1,2}$", w):
-            w = w.translate(SIGNS)
-        w = unicodedata.normalize("NFKD", w)
-        w = "".join(c for c in w if not unicodedata.combining(c)).casefold()
-        for part in re.split(r"['’\-/]", w):
-            part = _WORDISH.sub("", part)
-            if part:
-                out.append(part if "*" in part or "#" in part else _RUN.sub(r"\1", part))
-    return out
+    t = utterance
+    if not t.isascii():
+        t = unicodedata.normalize("NFKC", t.translate(_INVISIBLE))
+        if _LATIN.search(t):
+            t = t.translate(LOOKALIKES)
+    if _LETTERS.search(t):
+        t = _SPACED.sub(lambda m: re.sub(r"[-_.·・*~ ]", "", m[0]), t.replace("_", " ") if " _" in t else t)
+    return [w for token in _TOKEN.findall(t) for w in _said(token)]
+
+
+@lru_cache(maxsize=REMEMBERED)
+def _said(w: str) -> tuple[str, ...]:
+    """The words that one token stands for."""
+    if _NUMBER.match(w):
+        return ("0",)
+    if any(c.isdigit() or c in "$@!" for c in w) and sum(c.isalpha() or c in "$@" for c in w) >= 1 and not re.match(r"^\d+[a-z]{1,2}$", w):
+        w = w.translate(SIGNS)
+    w = unicodedata.normalize("NFKD", w)
+    w = "".join(c for c in w if not unicodedata.combining(c)).casefold()
+    parts = [_WORDISH.sub("", part) for part in re.split(r"['’\-/]", w)]
+    return tuple(p if "*" in p or "#" in p else _RUN.sub(r"\1", p) for p in parts if p)
 
 
 class Speller:
@@ -131,19 +142,30 @@ def one_off(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
-def features(ws: list[str]) -> np.ndarray:
-    """Hashed words, pairs, triples, and pairs over one or two words left out; each once."""
-    grams = set(ws)
-    n = len(ws)
-    for i in range(n - 1):
-        grams.add(f"{ws[i]} {ws[i + 1]}")
-        if i + 2 < n:
-            grams.add(f"{ws[i]} {ws[i + 1]} {ws[i + 2]}")
-            grams.add(f"{ws[i]} _ {ws[i + 2]}")
-        if i + 3 < n:
-            grams.add(f"{ws[i]} __ {ws[i + 3]}")
-    mask = (1 << BITS) - 1
-    return np.fromiter({xxhash.xxh32_intdigest(g) & mask for g in grams}, np.int64)
+@lru_cache(maxsize=REMEMBERED)
+def _digest(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def features(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature): hashed words, pairs, triples, and pairs over one or two words left out, each once in a row."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    word = np.fromiter((_digest(w) for t in texts for w in t), np.uint64, int(sizes.sum()))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(word))  # words from here to the end of the row
+    rows, grams = [row], [word]
+    for gap, kind in ((1, 1), (2, 2), (3, 3)):
+        at = np.flatnonzero(left > gap)
+        rows.append(row[at])
+        grams.append(word[at] * _MIX[0] + word[at + gap] * _MIX[1] + np.uint64(kind))
+    at = np.flatnonzero(left > 2)
+    rows.append(row[at])
+    grams.append(word[at] * _MIX[0] + word[at + 1] * _MIX[1] + word[at + 2] * _MIX[2])
+    g = np.concatenate(grams)
+    g = (g ^ (g >> np.uint64(29))) * _MIX[0]
+    key = np.sort((np.concatenate(rows) << BITS) | (g >> np.uint64(64 - BITS)).astype(np.int64))
+    key = key[np.diff(key, prepend=-1) != 0]
+    return key >> BITS, key & ((1 << BITS) - 1)
 
 
 class Ftrl:
@@ -159,29 +181,45 @@ class Ftrl:
         w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
         return np.where(np.abs(z) <= self.l1, 0.0, w)
 
-    def learn(self, x: np.ndarray, y: float, importance: float = 1.0) -> None:
-        w = self.weights(x)
-        value = 1 / np.sqrt(len(x)) if len(x) else 0.0
-        p = 1 / (1 + np.exp(-np.clip(w.sum() * value + self.bias, -30, 30)))
-        g = (p - y) * value * importance
-        sigma = (np.sqrt(self.n[x] + g * g) - np.sqrt(self.n[x])) / self.alpha
-        self.z[x] += g - sigma * w
-        self.n[x] += g * g
-        self.bias -= 0.02 * (p - y) * importance
-
-    def sparse(self) -> dict[int, float]:
+    def learn(self, row: np.ndarray, x: np.ndarray, y: np.ndarray, importance: np.ndarray) -> None:
+        """One step over the examples y, whose features are (row, x)."""
+        size = np.bincount(row, minlength=len(y))
+        value = 1 / np.sqrt(np.maximum(size, 1))
+        k, at = np.unique(x, return_inverse=True)
+        w = self.weights(k)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[at], len(y)) * value + self.bias, -30, 30)))
+        each = (p - y) * importance
+        g = np.bincount(at, (each * value)[row], len(k))
+        sigma = (np.sqrt(self.n[k] + g * g) - np.sqrt(self.n[k])) / self.alpha
+        self.z[k] += g - sigma * w
+        self.n[k] += g * g
+        self.bias -= 0.02 * each.sum()
+
+    def all_weights(self) -> np.ndarray:
+        out = np.zeros(1 << BITS, np.float32)
         at = np.flatnonzero(self.n)
-        w = self.weights(at)
-        return {int(i): float(v) for i, v in zip(at, w) if v}
+        out[at] = self.weights(at)
+        return out
 
 
 class Model:
-    """The weights that are not zero, and the words they were learned from."""
+    """The weights, and the words they were learned from."""
 
-    def __init__(self, weights: dict[int, float], bias: float, speller: Speller, seen: set[str]):
+    def __init__(self, weights: np.ndarray, bias: float, speller: Speller, seen: set[str]):
         self.weights, self.bias, self.speller, self.seen = weights, bias, speller, seen
         self._read: dict[str, str] = {}
-        self._scores: dict[tuple[str, ...], float] = {}
+        self._scores: dict[str, float] = {}
+
+    def __getstate__(self) -> dict:
+        # Only the weights that are not zero travel.
+        at = np.flatnonzero(self.weights)
+        return self.__dict__ | {"weights": (at.astype(np.int32), self.weights[at]), "_read": {}, "_scores": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        at, w = self.weights
+        self.weights = np.zeros(1 << BITS, np.float32)
+        self.weights[at] = w
 
     def read(self, w: str) -> str:
         """A word as the model knows it; all words that it has never seen become one."""
@@ -192,14 +230,6 @@ class Model:
             self._read[w] = r if r in self.seen else "·"
         return self._read[w]
 
-    def score_utterance(self, utterance: str) -> float:
-        ws = tuple(map(self.read, meant(utterance)))
-        if ws not in self._scores:
-            if len(self._scores) > REMEMBERED:
-                self._scores.clear()
-            self._scores[ws] = max(map(self.score_words, self.windows(list(ws))), default=0.0)
-        return self._scores[ws]
-
     def windows(self, ws: list[str]) -> Iterator[list[str]]:
         """All words of an utterance, or where it is long, overlapping parts of it."""
         if len(ws) <= WINDOW + STEP:
@@ -208,23 +238,37 @@ class Model:
             for i in range(0, len(ws) - WINDOW + STEP, STEP):
                 yield ws[i : i + WINDOW]
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_read": {}, "_scores": {}}
+    def score_words(self, texts: list[list[str]]) -> np.ndarray:
+        """The score of each list of words; 0 for empty ones."""
+        row, x = features(texts)
+        size = np.bincount(row, minlength=len(texts))
+        s = np.bincount(row, self.weights[x], len(texts)) / np.sqrt(np.maximum(size, 1)) + self.bias
+        return np.where(size > 0, 1 / (1 + np.exp(-np.clip(s, -30, 30))), 0.0)
 
-    def score_words(self, ws: list[str]) -> float:
-        x = features(ws)
-        if not len(x):
-            return 0.0
-        s = sum(self.weights.get(i, 0.0) for i in x.tolist()) / np.sqrt(len(x)) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(s, -30, 30))))
+    def worst_windows(self, utterances_: list[list[list[str]]]) -> list[list[str]]:
+        """Of each list of utterances the window that scores highest."""
+        parts = [[v for u in us for v in self.windows(u)] for us in utterances_]
+        s = iter(self.score_words([v for vs in parts for v in vs]).tolist())
+        return [max(vs, key=lambda v: next(s)) for vs in parts]
 
     def score(self, text: str | None) -> tuple[float, int]:
-        """The score of the worst utterance, and how many utterances reach the threshold."""
-        worst, over = 0.0, 0
-        for u in utterances(text or ""):
-            s = self.score_utterance(u)
-            worst, over = max(worst, s), over + (s >= THRESHOLD)
-        return worst, over
+        worst, over = self.score_texts([text])
+        return float(worst[0]), int(over[0])
+
+    def score_texts(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The score of each text's worst utterance, and how many of its utterances reach the threshold."""
+        split = [utterances(t) if t else [] for t in texts]
+        if len(self._scores) > REMEMBERED:
+            self._scores.clear()
+        new = [u for u in dict.fromkeys(u for us in split for u in us) if u not in self._scores]
+        for k in range(0, len(new), BLOCK):
+            block = new[k : k + BLOCK]
+            parts = [list(self.windows([self.read(w) for w in meant(u)])) for u in block]
+            ends = np.cumsum([0, *map(len, parts)])
+            s = self.score_words([v for vs in parts for v in vs])
+            self._scores.update(zip(block, np.maximum.reduceat(s, ends[:-1]).tolist()))
+        got = [[self._scores[u] for u in us] for us in split]
+        return np.array([max(g, default=0.0) for g in got], float), np.array([sum(x >= THRESHOLD for x in g) for g in got], np.int64)
 
 
 def fit(rows: list[tuple[str | None, int | None]], usual: list[str] | None = None, epochs: int = 12, rounds: int = 3, seed: int = 7) -> Model:
@@ -238,24 +282,27 @@ def fit(rows: list[tuple[str | None, int | None]], usual: list[str] | None = Non
     speller = Speller(counts)
     read = lambda u: [speller.read(w) for w in meant(u)]
     known = {shape(u) for u in usual or ()} | {shape(u) for us, y in split if not y for u in us}
-    negative = [(w, 0) for w in [read(u) for us, y in split if not y for u in us] + [read(u) for u in usual or ()] if w]
+    negative = [w for w in [read(u) for us, y in split if not y for u in us] + [read(u) for u in usual or ()] if w]
     # Of a flagged text, utterances of a shape known as clean are no candidates, unless all are.
     flagged = [[w for w in ([read(u) for u in us if shape(u) not in known] or [read(u) for u in us]) if w] for us, y in split if y]
     flagged = [us for us in flagged if us]
     rng = np.random.default_rng(seed)
-    positive = [([w for u in us for w in u], 1) for us in flagged]
-    seen = {w for part in (*flagged, [w for w, _ in negative]) for u in part for w in u}
-    model = Model({}, 0.0, speller, seen)
+    positive = [[w for u in us for w in u] for us in flagged]
+    seen = {w for part in (*flagged, negative) for u in part for w in u}
+    model = Model(np.zeros(1 << BITS, np.float32), 0.0, speller, seen)
     for _ in range(rounds):
         ftrl = Ftrl()
-        xs = [(features(u), y) for u, y in positive + negative]
-        pull = min(MOST_PULL, max(1.0, len(negative) / max(1, len(positive))))
+        n, y = len(positive) + len(negative), np.repeat([1.0, 0.0], [len(positive), len(negative)])
+        row, x = features(positive + negative)
+        first = np.searchsorted(row, np.arange(n + 1))
+        importance = np.where(y > 0, min(MOST_PULL, max(1.0, len(negative) / max(1, len(positive)))), 1.0)
         for _ in range(epochs):
-            for k in rng.permutation(len(xs)):
-                x, y = xs[k]
-                ftrl.learn(x, y, pull if y else 1.0)
-        model = Model(ftrl.sparse(), ftrl.bias, speller, seen)
-        positive = [(max((v for u in us for v in model.windows(u)), key=model.score_words), 1) for us in flagged]
+            for part in np.array_split(rng.permutation(n), min(n, MAX_STEPS)) if n else ():
+                sizes = first[part + 1] - first[part]
+                own = np.repeat(np.arange(len(part)), sizes)
+                ftrl.learn(own, x[np.concatenate([np.arange(first[k], first[k + 1]) for k in part])], y[part], importance[part])
+        model = Model(ftrl.all_weights(), ftrl.bias, speller, seen)
+        positive = model.worst_windows(flagged)
     return model
 
 
@@ -272,16 +319,21 @@ def shape(utterance: str) -> str:
 
 def _shapes():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
             count: Counter[str] = Counter()
             example: dict[str, str] = {}
             for t in b["text"]:
+                digest = xxhash.xxh3_64_intdigest(t or "")
+                if digest in seen:
+                    continue
+                seen.add(digest)
                 for s, u in {shape(u): u for u in utterances(t or "")}.items():
                     count[s] += 1
                     if s not in example or u < example[s]:
                         example[s] = u
             rows = [(s, n, example[s]) for s, n in count.items()]
-            yield plain(pd.DataFrame(rows, columns=["shape", "n", "example"]))
+            yield plain(pd.DataFrame([*rows, (None, len(b), None)], columns=["shape", "n", "example"]))
 
     return run
 
@@ -289,14 +341,17 @@ def _shapes():
 def usual_utterances(docs: DataFrame, model: Model) -> list[str]:
     """One utterance of each shape that one document in ``USUAL_IN`` has and the model does not condemn.
 
-    Shapes are counted over all documents, in batches before the shuffle; so many documents to a
-    shape bound how many there are, whatever the size of the corpus.
+    Shapes are counted over all documents in one pass, in batches before the shuffle; copies of a
+    text count once in each partition, so that a text sent again and again is not usual by that.
+    So many documents to a shape bound how many there are, whatever the size of the corpus.
     """
-    total = docs.count()
-    least = max(5, total // USUAL_IN)
-    counted = docs.mapInPandas(_shapes(), "shape string, n bigint, example string")
-    found = counted.groupBy("shape").agg(F.sum("n").alias("n"), F.min("example").alias("example")).where(F.col("n") >= least)
-    return [r["example"] for r in found.orderBy("shape").toLocalIterator() if model.score(r["example"])[0] < CONDEMNED]
+    counted = docs.mapInPandas(_shapes(), "shape string, n bigint, example string").groupBy("shape").agg(F.sum("n").alias("n"), F.min("example").alias("example"))
+    counted = Scratch(docs.sparkSession, "shapes").write(counted, "shapes")
+    total = counted.where("shape is null").select("n").collect()
+    least = max(5, (total[0]["n"] if total else 0) // USUAL_IN)
+    found = [r["example"] for r in counted.where(F.col("shape").isNotNull() & (F.col("n") >= least)).orderBy("shape").toLocalIterator()]
+    scores, _ = model.score_texts(found)
+    return [u for u, s in zip(found, scores) if s < CONDEMNED]
 
 
 def labelled(labels: DataFrame, text: str = "text", flagged: str = "flagged") -> list[tuple[str, int]]:
@@ -325,8 +380,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_
 
     @F.pandas_udf("struct<score:double,n:int>")
     def score(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        got = [m.score(t) for t in texts]
-        return pd.DataFrame({"score": [s for s, _ in got], "n": [n for _, n in got]})
+        worst, over = shared.value.score_texts(texts)
+        return pd.DataFrame({"score": worst, "n": over})
 
     return docs.select("doc_id", *keep, score("text").alias("x")).select("doc_id", *keep, F.col("x.score").alias("score"), F.col("x.n").alias("n_flagged"), (F.col("x.n") > 0).alias("flagged"))
