@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweft.llm.abuse import fit, meant, one_off, score_documents, shape, utterances
+from kinweft.llm.abuse import fit, meant, one_off, score_documents, shape, usual_utterances, utterances
 from kinweft.llm.fmindex import FMIndex
 from kinweft.llm.golden import SEX, normalised, survivors
 from kinweft.llm.leakage import Items, leaked, merged, search_shard
@@ -77,6 +77,15 @@ def test_pieces_in_another_order_and_second_copies():
     assert sum(y - x for x, y in got[3][1]) == 2 * n[0] + n[1] and sum(y - x for x, y in got[4][1]) == 2 * n[0] + n[1]
 
 
+def test_blocks_of_items_change_nothing(spark):
+    facts = ["The keeper of the north house weighed the young male on the second of March.", "A crate with bamboo from Lyon arrived at the harbour before noon.", "The old female refused the pears but took all of the carrots."]
+    texts = [f"{facts[k % 3]} Number {k} had a {w} coat in the winter of the great flood." for k, w in enumerate(["pale", "dark", "rusty", "grey", "black", "white", "brown"] * 3)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"Notes of the day. {t} More later.") for k, t in enumerate(texts)], "doc_id long, text string")
+    one, many = ({tuple(map(str, r)) for r in leaked(docs, items, block_chars=n).collect()} for n in (10**6, 200))
+    assert one == many and len({r[0] for r in one}) >= 3
+
+
 def test_words():
     assert words("a<br/>b <i>Wört­er</i> &amp; x_y") == ["a", "b", "worter", "x", "y"] and words(None) == [] and words("\\u00e9t\\u00e9") == ["ete"]
 
@@ -103,6 +112,13 @@ def test_abuse(spark):
     assert not any(r["flagged"] for r in score_documents(docs, labels.limit(0)).collect())
 
 
+def test_copies_of_a_text_are_not_usual(spark):
+    model = fit(LABELS)
+    many = [(f"Keeper {k} saw {k} birds at the pond.",) for k in range(40)] + [("You look odd today.",)] * 400
+    usual = usual_utterances(spark.createDataFrame(many, "text string").coalesce(2), model)
+    assert len(usual) == 1 and "birds" in usual[0]
+
+
 ANIMAL = "id string, sex string, status string, population string, name struct<source_ids:array<string>>, review struct<status:string,reviewed_on:string>, loaded_at timestamp, tier string"
 
 
