@@ -61,30 +61,42 @@ def dropped(c: Column, n: int) -> Column:
     return out
 
 
-def balls(points: DataFrame, keep: list[str], radius: int = RADIUS) -> DataFrame:
-    """(*keep, given, house, ball): each point in the ball of each of its pivots.
+def balls(points: DataFrame, keep: list[str], within: list[str], radius: int = RADIUS) -> DataFrame:
+    """(*keep, ball): each point in the ball of each of its pivots; points of different within share none.
 
     A pivot is a pair of strings that takes at most radius deletions in both names together.
     """
     pairs = []
     for a in range(radius + 1):
-        pairs.append(F.flatten(F.transform(dropped(F.col("given"), a), lambda g: F.transform(dropped(F.col("house"), radius - a), lambda h: F.xxhash64(g, h)))))  # noqa: B023
-    return points.select(*keep, "given", "house", F.explode(F.array_distinct(F.flatten(F.array(*pairs)))).alias("ball"))
+        pairs.append(F.flatten(F.transform(dropped(F.col("given"), a), lambda g: F.transform(dropped(F.col("house"), radius - a), lambda h: F.xxhash64(g, h, *within)))))  # noqa: B023
+    # Few rows become many: they are spread over all cores first.
+    return points.repartition(tasks(points.sparkSession)).select(*keep, F.explode(F.array_distinct(F.flatten(F.array(*pairs)))).alias("ball"))
+
+
+def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): the numbers of left and right that share a ball, each pair once; both are (p, ball).
+
+    Both sides go through one shuffle of plain numbers. A ball has distinct points only, at most the
+    strings that are some insertions from its pivot, however many rows there are; most have one
+    point, and go at once.
+    """
+    both = left.select("ball", F.col("p").alias("a"), F.lit(None).cast("bigint").alias("b")).unionByName(right.select("ball", F.lit(None).cast("bigint").alias("a"), F.col("p").alias("b")))
+    # Placed before they are gathered: gathering on the side of the writer, where few meet, only costs.
+    met = both.repartition(tasks(left.sparkSession), "ball").groupBy("ball").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).where("size(a) > 0 and size(b) > 0")
+    return met.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b")).distinct()
 
 
 def radius_join(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): pairs of points of one ordinal within radius; points are (p, given, house, ordinal).
 
-    Where both orders of a name are points, a need only stand in the alphabetical one.
+    Where both orders of a name are points, a needs only stand in the alphabetical one.
     """
-    points = points.repartition(tasks(points.sparkSession), "p")
-    b = balls(points, ["p", "ordinal"], radius).withColumns({"first": F.col("given") <= F.col("house"), "never": F.length("given") == 0})
-    x = b.select("ball", "ordinal", F.col("p").alias("a"), F.col("given").alias("ga"), F.col("house").alias("ha"), "first", F.col("never").alias("na"))
-    y = b.select("ball", "ordinal", F.col("p").alias("b"), F.col("given").alias("gb"), F.col("house").alias("hb"), F.col("first").alias("fb"), "never")
+    b = balls(points.withColumn("first", F.col("given") <= F.col("house")), ["p", "first"], ["ordinal"], radius)
+    met = b.repartition(tasks(points.sparkSession), "ball").groupBy("ball").agg(F.collect_list(F.when(F.col("first"), F.col("p"))).alias("a"), F.collect_list("p").alias("b")).where("size(a) > 0 and size(b) > 1")
+    met = met.select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b")).where("a != b").distinct()
+    end = lambda n: points.select(F.col("p").alias(n), F.col("given").alias(f"g{n}"), F.col("house").alias(f"h{n}"))
     far = F.levenshtein("ga", "gb") + F.levenshtein("ha", "hb")
-    # A condition on both sides at once stays above the shuffle, so that one shuffle serves both. A generated
-    # row costs nothing in Spark's estimate: without the hint the balls would be broadcast.
-    return x.join(y.hint("merge"), ["ball", "ordinal"]).where(F.col("first") | F.col("never")).where("a != b").where(far <= radius).select("a", "b").distinct()
+    return met.join(end("a"), "a").join(end("b"), "b").where(far <= radius).select("a", "b")
 
 
 def _profile(traits: DataFrame, key: str) -> DataFrame:
