@@ -34,21 +34,48 @@ _PART = "coalesce(regexp_full_match({0}, '\\d{{4}}') or regexp_full_match({0}, '
 _WEB = "coalesce(regexp_matches({0}, '^[hH][tT][tT][pP][sS]?://[^/?#\\s]+'), false)"
 
 
+_BLANK = "coalesce(trim({0}) = '', true)"
+
+
+def _review(collection: str, source: str) -> list[str]:
+    at, known = lambda f: _p(collection, "id", f), _in("review.status", va.REVIEW)
+    return [
+        _issue("invalid_review", at("review"), "review status is not known", source, f"not {known}"),
+        _issue("invalid_review_date", at("review.reviewed_on"), "review date is no day", source, f"{known} and not coalesce({_DAY.format('review.reviewed_on')}, false)"),
+        _issue("invalid_review", at("review.notes"), "review notes are no text", source, f"{known} and review.notes is null"),
+    ]
+
+
+_PARTS = """named as (select *, not (coalesce(trim(name.canonical) = '', true) or coalesce(trim(name.language) = '', true)) whole from an),
+loc as (select id, whole, i - 1 i, name.localized[i] x from (select *, unnest(range(1, len(name.localized) + 1)) i from named)),
+ali as (select id, i - 1 i, aliases[i] x from (select *, unnest(range(1, len(aliases) + 1)) i from an)),
+ext as (select id, i - 1 i, external_ids[i] x from (select *, unnest(range(1, len(external_ids) + 1)) i from an))"""
+
+
+def _at(field: str, rest: str = "") -> str:
+    return f"'$.animals[' || id || '].{field}[' || i || ']{rest}'"
+
+
+_WHOLE_ALIAS = "not (coalesce(trim(x.value) = '', true) or coalesce(trim(x.language) = '', true))"
+
+
 @REG.add(
     "validate_animals",
-    tb.ctes("an")
+    tb.ctes("an", more=_PARTS)
     + " union all ".join([
-        _issue("invalid_animal", _p("animals", "id", "taxon"), "taxon is blank", "an", "coalesce(trim(taxon) = '', true)"),
+        _issue("invalid_animal", _p("animals", "id", "taxon"), "taxon is blank", "an", _BLANK.format("taxon")),
         _issue("invalid_animal", _p("animals", "id", "sex"), "sex is not known", "an", f"not {_in('sex', va.SEX)}"),
         _issue("invalid_animal", _p("animals", "id", "status"), "status is not known", "an", f"not {_in('status', va.STATUS)}"),
         _issue("invalid_population", _p("animals", "id", "population"), "population is not known", "an", f"population is not null and not {_in('population', va.POPULATION)}"),
         _issue("missing_population", _p("animals", "id", "population"), "population is required", "an", "population is null and taxon = 'Ursus maritimus'"),
-        _issue("invalid_name", _p("animals", "id", "name"), "name is incomplete", "an", "coalesce(trim(name.canonical) = '', true) or coalesce(trim(name.language) = '', true)"),
-        _issue("invalid_alias", _p("animals", "id", "aliases"), "alias is incomplete", "an", "len(list_filter(aliases, lambda a: coalesce(trim(a.value) = '', true) or coalesce(trim(a.language) = '', true))) > 0"),
-        _issue("missing_evidence", _p("animals", "id", "name.source_ids"), "no source is cited", "an", "coalesce(len(name.source_ids), 0) = 0"),
-        _issue("invalid_external_id", _p("animals", "id", "external_ids"), "external id is incomplete", "an", "len(list_filter(external_ids, lambda a: coalesce(trim(a.namespace) = '', true) or coalesce(trim(a.value) = '', true))) > 0"),
-        _issue("invalid_review", _p("animals", "id", "review.status"), "review status is not known", "an", f"not {_in('review.status', va.REVIEW)}"),
-        _issue("invalid_review_date", _p("animals", "id", "review.reviewed_on"), "review date is no day", "an", f"{_in('review.status', va.REVIEW)} and not coalesce({_DAY.format('review.reviewed_on')}, false)"),
+        _issue("invalid_name", _p("animals", "id", "name"), "name is incomplete", "named", "not whole"),
+        _issue("missing_evidence", _p("animals", "id", "name.source_ids"), "no source is cited", "named", "whole and coalesce(len(name.source_ids), 0) = 0"),
+        _issue("invalid_name", _at("name.localized"), "name is empty", "loc", "x is null"),
+        _issue("missing_evidence", _at("name.localized", ".source_ids"), "no source is cited", "loc", "whole and x is not null and coalesce(len(x.source_ids), 0) = 0"),
+        _issue("invalid_alias", _at("aliases"), "alias is incomplete", "ali", f"not {_WHOLE_ALIAS}"),
+        _issue("missing_evidence", _at("aliases", ".source_ids"), "no source is cited", "ali", f"{_WHOLE_ALIAS} and coalesce(len(x.source_ids), 0) = 0"),
+        _issue("invalid_external_id", _at("external_ids"), "external id is incomplete", "ext", f"{_BLANK.format('x.namespace')} or {_BLANK.format('x.value')}"),
+        *_review("animals", "an"),
     ]),
 )
 def validate_animals(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,22 +90,31 @@ def validate_animals(spark: SparkSession, sf: str) -> DataFrame:
         _issue("invalid_relationship_type", _p("relationships", "id", "type"), "type is not known", "rel", f"not {_in('type', va.RELATION)}"),
         _issue("invalid_relationship_status", _p("relationships", "id", "status"), "status is not known", "rel", f"not {_in('status', va.RELATION_STATUS)}"),
         _issue("missing_evidence", _p("relationships", "id", "source_ids"), "no source is cited", "rel", "coalesce(len(source_ids), 0) = 0"),
+        *_review("relationships", "rel"),
     ]),
 )
 def validate_relationships(spark: SparkSession, sf: str) -> DataFrame:
     return va.relation_issues(tb.relationships(spark, sf))
 
 
+_ENDS = f"({_PART.format('date.start')} and {_PART.format('date.end')})".replace("date.end", 'date."end"')
+
+
 @REG.add(
     "validate_events",
     tb.ctes("ev")
     + " union all ".join([
         _issue("missing_event_subject", _p("events", "id", "animal_id"), "no animal is named", "ev", "animal_id is null and coalesce(len(related_animal_ids), 0) = 0"),
         _issue("invalid_outcome_count", _p("events", "id", "outcome_count"), "count is below one", "ev", "outcome_count < 1"),
-        _issue("invalid_event_type", _p("events", "id", "type"), "type is blank", "ev", "coalesce(trim(type) = '', true)"),
+        _issue("invalid_event_type", _p("events", "id", "type"), "type is not known", "ev", f"not {_in('type', va.EVENT)}"),
+        _issue("invalid_date", _p("events", "id", "date"), "date is missing", "ev", "date is null"),
         _issue("invalid_date", _p("events", "id", "date.precision"), "precision is not known", "ev", f"date is not null and not {_in('date.precision', va.PRECISION)}"),
-        _issue("invalid_date", _p("events", "id", "date"), "date does not fit its precision", "ev", f"(date.precision = 'exact' and not coalesce({_DAY.format('date.value')}, false)) or (date.precision = 'approximate' and not {_PART.format('date.value')}) or (date.precision = 'range' and not ({_PART.format('date.start')} and {_PART.format('date.end')}))".replace("date.end", 'date."end"')),
-        _issue("invalid_date_range", _p("events", "id", "date"), "range ends before it starts", "ev", "date.precision = 'range' and (case length(date.start) when 4 then date.start || '-01-01' when 7 then date.start || '-01' else date.start end) > (case length(date.\"end\") when 4 then date.\"end\" || '-99-99' when 7 then date.\"end\" || '-99' else date.\"end\" end)"),
+        _issue("invalid_date", _p("events", "id", "date.value"), "exact date is no day", "ev", f"date.precision = 'exact' and not coalesce({_DAY.format('date.value')}, false)"),
+        _issue("invalid_date", _p("events", "id", "date.value"), "approximate date is no date", "ev", f"date.precision = 'approximate' and not {_PART.format('date.value')}"),
+        _issue("invalid_date", _p("events", "id", "date"), "range has no two dates", "ev", f"date.precision = 'range' and not {_ENDS}"),
+        _issue("invalid_date_range", _p("events", "id", "date"), "range ends before it starts", "ev", f"date.precision = 'range' and {_ENDS} and (case length(date.start) when 4 then date.start || '-01-01' when 7 then date.start || '-01' else date.start end) > (case length(date.\"end\") when 4 then date.\"end\" || '-99-99' when 7 then date.\"end\" || '-99' else date.\"end\" end)"),
+        _issue("invalid_date", _p("events", "id", "date.notes"), "unknown date has no note", "ev", "date.precision = 'unknown' and coalesce(trim(date.notes) = '', true)"),
+        _issue("missing_evidence", _p("events", "id", "source_ids"), "no source is cited", "ev", "coalesce(len(source_ids), 0) = 0"),
     ]),
 )
 def validate_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,6 +132,7 @@ def validate_events(spark: SparkSession, sf: str) -> DataFrame:
         _issue("unlicensed_embedding", _p("media", "media_id", "embedding_status"), "embedding is allowed without rights", "med", f"embedding_status = 'allowed' and not {_in('lower(rights_status)', va.OPEN_RIGHTS)}"),
         _issue("invalid_embedding_status", _p("media", "media_id", "embedding_status"), "embedding status is not known", "med", f"not {_in('embedding_status', va.EMBEDDING)}"),
         _issue("invalid_media_date", _p("media", "media_id", "checked_date"), "check date is no day", "med", f"not coalesce({_DAY.format('checked_date')}, false)"),
+        _issue("missing_evidence", _p("media", "media_id", "source_ids"), "no source is cited", "med", "coalesce(len(source_ids), 0) = 0"),
     ]),
 )
 def validate_media(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +143,7 @@ def validate_media(spark: SparkSession, sf: str) -> DataFrame:
     "validate_sources",
     tb.ctes("src")
     + " union all ".join([
-        _issue("invalid_source", _p("sources", "id", "title"), "title or publisher is blank", "src", "coalesce(trim(title) = '', true) or coalesce(trim(publisher) = '', true)"),
+        *[_issue("invalid_source", _p("sources", "id", f), "text is blank", "src", _BLANK.format(f)) for f in ("title", "publisher", "source_type", "data_use")],
         _issue("invalid_source_url", _p("sources", "id", "url"), "url is no web address", "src", f"not {_WEB.format('url')}"),
         _issue("invalid_source_date", _p("sources", "id", "publication_date"), "publication date is no date", "src", f"publication_date is not null and not {_PART.format('publication_date')}"),
         _issue("invalid_source_date", _p("sources", "id", "accessed_date"), "access date is no day", "src", f"not coalesce({_DAY.format('accessed_date')}, false)"),
@@ -129,22 +166,41 @@ def validate_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 @REG.add(
     "validate_numbers",
-    "with x as (select distinct id, lower(e.namespace) ns, e.value v from (select id, unnest(external_ids) e from animals)), f as (select ns, v, min(id) o from x group by all having count(*) > 1)\n"
-    "select 'duplicate_external_id' code, '$.animals[' || x.id || '].external_ids' path, x.ns || ':' || x.v || ' belongs to ' || f.o message from x join f on f.ns = x.ns and f.v = x.v where x.id <> f.o",
+    tb.ctes("an", more="x as (select id, i - 1 i, external_ids[i].namespace ns, external_ids[i].value v from (select id, external_ids, unnest(range(1, len(external_ids) + 1)) i from an)), r as (select *, row_number() over w n, first_value(id) over w o from x where trim(ns) <> '' and trim(v) <> '' window w as (partition by ns, v order by id, i))")
+    + "select 'duplicate_external_id' code, '$.animals[' || id || '].external_ids[' || i || ']' path, ns || ':' || v || ' belongs to ' || o message from r where n > 1",
 )
 def validate_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return va.duplicate_numbers(table(spark, sf, "animals"))
+    return va.duplicate_numbers(tb.animals(spark, sf))
+
+
+def _cited_sql(path: str, listed: str, source: str) -> str:
+    return f"select {path} || '.source_ids[' || (j - 1) || ']' path, {tb.KEY.format('l[j]')} ref from (select *, unnest(range(1, len(l) + 1)) j from (select *, {listed} l from {source}))"
 
 
 @REG.add(
     "validate_citations",
-    tb.ctes("rel", more=f"c as (select id, i - 1 at_, {tb.KEY.format('source_ids[i]')} ref from (select id, source_ids, unnest(range(1, len(source_ids) + 1)) i from rel))")
-    + "select 'dangling_source' code, '$.relationships[' || id || '].source_ids[' || at_ || ']' path, 'unknown id ' || ref message from c where ref is not null and ref not in (select lower(trim(id)) from sources where id is not null)",
-)
+    tb.ctes("rel", "an", "ev", "med", more=_PARTS + ", c as (" + " union all ".join([
+        _cited_sql("'$.animals[' || id || '].name'", "name.source_ids", "an"), _cited_sql(_at("name.localized"), "x.source_ids", "loc"), _cited_sql(_at("aliases"), "x.source_ids", "ali"),
+        _cited_sql("'$.relationships[' || id || ']'", "source_ids", "rel"), _cited_sql("'$.events[' || id || ']'", "source_ids", "ev"), _cited_sql("'$.media[' || media_id || ']'", "source_ids", "med"),
+    ]) + ")")
+    + "select 'dangling_source' code, path, 'unknown id ' || ref message from c where ref is not null and ref not in (select lower(trim(id)) from sources where id is not null)",
+)
 def validate_citations(spark: SparkSession, sf: str) -> DataFrame:
-    r = tb.relationships(spark, sf).select("id", F.posexplode("source_ids").alias("at", "s"))
-    path = F.concat(F.lit("$.relationships["), F.col("id"), F.lit("].source_ids["), F.col("at").cast("string"), F.lit("]"))
-    return va.dangling(r.select(path.alias("path"), id_key("s").alias("ref")).where("ref is not null"), table(spark, sf, "sources"), "dangling_source")
+    """Every citation of names, aliases, relationships, events and media without its source."""
+
+    def of(df: DataFrame, collection: str, key: str, field: str, listed: str | None = None) -> DataFrame:
+        head = F.concat(F.lit(f"$.{collection}["), F.col(key), F.lit(f"]{field}"))
+        if listed:
+            df = df.select(key, F.posexplode(listed).alias("i", "x"))
+            head, ids = F.concat(head, F.lit(f".{listed}["), F.col("i").cast("string"), F.lit("]")), "x.source_ids"
+        else:
+            ids = f"{field[1:]}.source_ids" if field else "source_ids"
+        x = df.select(head.alias("head"), F.posexplode(ids).alias("at", "s"))
+        return x.select(F.concat("head", F.lit(".source_ids["), F.col("at").cast("string"), F.lit("]")).alias("path"), id_key("s").alias("ref")).where("ref is not null")
+
+    a, r, e, m = tb.animals(spark, sf), tb.relationships(spark, sf), tb.events(spark, sf), tb.media(spark, sf)
+    refs = [of(a, "animals", "id", ".name"), of(a, "animals", "id", "", "name.localized"), of(a, "animals", "id", "", "aliases"), of(r, "relationships", "id", ""), of(e, "events", "id", ""), of(m, "media", "media_id", "")]
+    return va.dangling(reduce(DataFrame.unionByName, refs), table(spark, sf, "sources"), "dangling_source")
 
 
 def _ref_sql(collection: str, source: str, key: str, field: str, target: str, code: str) -> str:
