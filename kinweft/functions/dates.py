@@ -41,11 +41,12 @@ def is_partial_date(c: Column) -> Column:
 
 
 def parse_foreign_date(c: Column) -> Column:
-    """A date written with dots, slashes or hyphens as struct<precision,value>; null where it is none.
+    """A date written with dots, slashes or hyphens as struct<precision,value>; null where it is none, or where hyphens come with others.
 
     One part is an approximate year, two an approximate month, three a day that must exist.
     """
-    parts = F.split(F.replace(F.replace(F.trim(c), F.lit("."), F.lit("/")), F.lit("-"), F.lit("/")), "/")
+    slashed = F.replace(F.trim(c), F.lit("."), F.lit("/"))
+    parts = F.when(F.contains(slashed, F.lit("/")), F.split(slashed, "/")).otherwise(F.split(slashed, "-"))
     n, y = F.size(parts), F.try_element_at(parts, F.lit(1))
     m, d = (F.lpad(F.try_element_at(parts, F.lit(k)), 2, "0") for k in (2, 3))
     sane = y.rlike(r"^\d{4}$")

@@ -76,14 +76,21 @@ legacy_key = _vectorised(legacy_text)
 title_label = _vectorised(title_text)
 
 
-def search_keys(array: Column) -> Column:
-    """An array of texts as one key: normalised, empty ones dropped, joined by NUL."""
+def normalized_lists(a: Column, b: Column, c: Column) -> Column:
+    """struct<a,b,c>: three arrays of texts with each text as a search key, null as ''; one pass for all."""
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: None if a is None else "\0".join(k for k in (search_text(v) for v in a) if k))
+    @F.pandas_udf("struct<a:array<string>,b:array<string>,c:array<string>>")
+    def run(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.DataFrame:
+        known: dict = {}
+
+        def key(v):
+            if v not in known:
+                known[v] = search_text(v) or ""
+            return known[v]
+
+        return pd.DataFrame({n: pd.Series([None if s is None else [key(v) for v in s] for s in col], dtype=object) for n, col in zip("abc", (x, y, z))})
 
-    return run(array)
+    return run(a, b, c)
 
 
 def name_variants(c: Column) -> Column:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweft.operators.components import components
+from kinweft.operators.components import SMALL, components
 from kinweft.scratch import Scratch
 from kinweft.session import plain
 
@@ -66,30 +66,85 @@ def walk(edges: DataFrame, starts: DataFrame, upward: bool, depth: int | None =
         level += 1
         reached = frontier.join(step, "node").select("start", F.col("next").alias("node")).distinct()
         new = store.write(reached.join(_union(parts).select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(level)), f"level{level}")
-        if new.isEmpty() or level > MAX_LEVELS:
+        if new.isEmpty():
             break
+        if level > MAX_LEVELS:
+            raise RuntimeError(f"walk: not at an end after {MAX_LEVELS} levels")
         parts.append(new)
         frontier = new
     return _union(parts)
 
 
-def focused(edges: DataFrame, focus: str, depth: int | None = 3, cap: int | None = 250) -> DataFrame:
+def focused(edges: DataFrame, focus: str, depth: int | None = 3, cap: int | None = 250, small: int = SMALL) -> DataFrame:
     """(node, generation, truncated) around one node: its ancestors as negative, its descendants as positive generations.
 
-    Ancestors are walked before descendants and the first label stays. At most cap nodes are kept,
-    nearest first, the focus always; truncated says whether any was refused. The cap is a feature
-    of the view: without one every node is kept.
+    edges is (id, subject, object). Ancestors are walked before descendants, level by level, the
+    neighbours of a level in the order of the nodes that lead to them, then of the edges' ids; the
+    first label stays. Once cap nodes are kept no other is, nor is it walked on from; truncated says
+    whether any was refused. The cap is a feature of the view: without one every node is kept.
+
+    Up to small edges are walked in one task, more by one join a level, with the same result.
     """
-    spark = edges.sparkSession
-    start = spark.createDataFrame([(focus,)], "start string")
-    up = walk(edges, start, True, depth).select("node", (-F.col("distance")).alias("generation"), F.lit(0).alias("way"))
-    down = walk(edges, start, False, depth).select("node", F.col("distance").alias("generation"), F.lit(1).alias("way"))
-    both = up.unionByName(down).groupBy("node").agg(F.min_by("generation", F.struct("way", F.abs("generation"))).alias("generation"), F.min("way").alias("way"))
-    if cap is None:
-        return both.select("node", "generation", F.lit(False).alias("truncated"))
-    kept = both.orderBy("way", F.abs("generation"), "node").limit(cap)
-    n = both.agg(F.count("*").alias("n"))
-    return kept.crossJoin(F.broadcast(n)).select("node", "generation", (F.col("n") > cap).alias("truncated"))
+    e = edges.select("id", "subject", "object").where("subject is not null and object is not null")
+    if e.count() > small:
+        return _focused_by_joins(e, focus, depth, cap)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((i, s, o) for b in batches for i, s, o in zip(b["id"], b["subject"], b["object"]))
+        up, down = defaultdict(list), defaultdict(list)
+        for _, s, o in rows:
+            up[o].append(s)
+            down[s].append(o)
+        label, refused = {focus: 0}, False
+        for near, sign in ((up, -1), (down, 1)):
+            level, visited, distance = [focus], {focus}, 0
+            while level and (depth is None or distance < depth):
+                distance += 1
+                reached = []
+                for n in level:
+                    for m in near.get(n, ()):
+                        if m not in label and cap is not None and len(label) >= max(1, cap):
+                            refused = True
+                            continue
+                        label.setdefault(m, sign * distance)
+                        if m not in visited:
+                            visited.add(m)
+                            reached.append(m)
+                level = reached
+        yield plain(pd.DataFrame({"node": list(label), "generation": pd.array(list(label.values()), dtype="Int32"), "truncated": refused}))
+
+    return e.coalesce(1).mapInPandas(run, "node string, generation int, truncated boolean")
+
+
+def _focused_by_joins(e: DataFrame, focus: str, depth: int | None, cap: int | None) -> DataFrame:
+    spark = e.sparkSession
+    store = Scratch(spark, "focused")
+    e = store.write(e, "edges")
+    label = store.write(spark.createDataFrame([(focus, 0)], "node string, generation int"), "label")
+    kept, refused = 1, False
+    for src, dst, sign in (("object", "subject", -1), ("subject", "object", 1)):
+        level = spark.createDataFrame([(focus, 0)], "node string, place long")
+        visited = level.select("node")
+        distance = 0
+        while depth is None or distance < depth:
+            distance += 1
+            near = e.join(level.withColumnRenamed("node", src), src).groupBy(F.col(dst).alias("node")).agg(F.min(F.struct("place", "id")).alias("at"))
+            near = store.write(near.join(visited, "node", "left_anti").join(label, "node", "left"), "near")
+            new = near.where("generation is null")
+            n, room = new.count(), None if cap is None else max(0, max(1, cap) - kept)
+            if room is not None and n > room:
+                refused = True
+                new = new.orderBy("at").limit(room)
+                n = room
+            new = store.write(new.select("node", "at"), "new")
+            label = store.write(label.unionByName(new.select("node", F.lit(sign * distance).alias("generation"))), "label")
+            kept += n
+            level = near.where("generation is not null").select("node", "at").unionByName(new)
+            level = store.write(level.select("node", (F.row_number().over(Window.orderBy("at")) if cap is not None else F.lit(0)).cast("bigint").alias("place")), "level")
+            if level.isEmpty():
+                break
+            visited = store.write(visited.unionByName(level.select("node")), "visited")
+    return label.withColumn("truncated", F.lit(refused))
 
 
 def level_group(pairs: list[tuple[str, str]], nodes: list[str]) -> dict[str, int | None]:
@@ -151,6 +206,8 @@ def _levels(store: Scratch, family: DataFrame, e: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
         parts.append(new)
+    else:
+        raise RuntimeError(f"generations: not at an end after {MAX_LEVELS} levels")
     return family.join(_union(parts), "node", "left").select("node", "component", "generation")
 
 
@@ -215,3 +272,16 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def parent_order_violations(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(child, mother, father): parents of one generation of which the mother does not stand left of the father."""
+    at = lambda n: placed.select(F.col("id").alias(n), F.col("generation").alias(f"{n}_generation"), F.col("x").alias(f"{n}_x"))
+    return parent_pairs(edges).join(at("mother"), "mother").join(at("father"), "father").where("mother_generation = father_generation and mother_x >= father_x").select("child", "mother", "father")
+
+
+def locale_order(rows: DataFrame, key: list[str], country: str, name: str, node: str, missing: str = "") -> DataFrame:
+    """rows with place: from 0 within key by country (missing for null), name (the id for null) and id, as a reader sorts them."""
+    text = lambda c: F.collate(c, "UNICODE")
+    w = Window.partitionBy(*key).orderBy(text(F.coalesce(country, F.lit(missing))), text(F.coalesce(name, node)), text(F.col(node)), node)
+    return rows.withColumn("place", F.row_number().over(w) - 1)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from pathlib import PurePosixPath
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,13 +14,32 @@ from pyspark.sql import functions as F
 
 from kinweft.session import plain
 
+# What a finding looks like, and the names under which documents keep paths.
 PATTERNS = {
-    "data_uri": r"data:image/[a-z0-9.+-]+;base64",
-    "local_image": r"""(?i)(?:src|href)\s*=\s*["'](?!https?:|//|data:)[^"']+\.(?:png|jpe?g|gif|webp|avif)""",
-    "css_url": r"""(?i)url\(\s*["']?[^)"']+\.(?:png|jpe?g|gif|webp|avif)""",
+    "data_uri": r"(?i)data:image/",
+    "local_image": r"""(?i)(?:src|href)\s*=\s*(?:"(?!https?://|//|data:)[^'"]+\.(?:jpe?g|png|webp)(?:[?#][^'"]*)?"|'(?!https?://|//|data:)[^'"]+\.(?:jpe?g|png|webp)(?:[?#][^'"]*)?')""",
+    "css_url": r"""(?i)url\(\s*(['"]?)(?!https?://|//|data:)[^)'"\s]+\.(?:jpe?g|png|webp)(?:[?#][^)'"\s]*)?\1\s*\)""",
     "web_url": r"""https?://[^\s"'<>)]+""",
 }
-PATH_KEYS = ("path", "file", "image", "photo", "src")
+PATH_KEYS = ("local_path", "relative_path", "local_media_path")
+REMOTE_KEY = "direct_remote_url"
+PHOTO = (".jpg", ".jpeg", ".png", ".webp")
+HERE = ("localhost", "127.0.0.1", "::1")
+
+
+def is_local_photo(key: str, value: str) -> bool:
+    """Whether a member of a document says that an image lies here: a path to one, or a remote address that is none."""
+    try:
+        at = urlsplit(value)
+        host = at.hostname
+    except ValueError:
+        return key == REMOTE_KEY
+    photo = PurePosixPath(at.path).suffix.lower() in PHOTO
+    if key != REMOTE_KEY:
+        return photo
+    if re.match("data:image/", value, re.I):
+        return True
+    return bool(value) and (at.scheme not in ("http", "https") or not at.netloc or photo and host in HERE)
 
 
 def content_scan(texts: DataFrame, key: str, text: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
@@ -27,16 +49,22 @@ def content_scan(texts: DataFrame, key: str, text: str, kinds: tuple[str, ...] =
     return x.distinct()
 
 
-def key_scan(docs: DataFrame, key: str, payload: str, wanted: tuple[str, ...] = PATH_KEYS) -> DataFrame:
-    """(key, path, value): texts under path-like names anywhere in JSON of any depth; unreadable JSON gives none."""
+def key_scan(docs: DataFrame, key: str, payload: str, wanted: tuple[str, ...] = (*PATH_KEYS, REMOTE_KEY), photos: bool = True) -> DataFrame:
+    """(key, path, value): texts under exactly the wanted names anywhere in JSON of any depth; unreadable JSON gives none.
+
+    With photos only those are found that ``is_local_photo``. What lies under a wanted name is not
+    searched further.
+    """
 
     def visit(x, at: str) -> Iterator[tuple[str, str]]:
         if isinstance(x, dict):
             for k, v in x.items():
                 here = f"{at}.{k}"
-                if isinstance(v, str) and any(w in k.lower() for w in wanted):
-                    yield here, v
-                yield from visit(v, here)
+                if k in wanted and isinstance(v, str):
+                    if not photos or is_local_photo(k, v):
+                        yield here, v
+                else:
+                    yield from visit(v, here)
         elif isinstance(x, list):
             for i, v in enumerate(x):
                 yield from visit(v, f"{at}[{i}]")

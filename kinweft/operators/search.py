@@ -5,30 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweft.functions.text import search_keys, search_text
+from kinweft.functions.text import normalized_lists, search_text
 
 #: What a missing facet counts as: sex and status have a value for it, the others have none.
 MISSING = {"sex": "unknown", "status": "unknown", "country_code": "", "taxon": "", "population": ""}
 
 
-def searchable(names: Column, aliases: Column, institutions: Column, *more: Column) -> Column:
-    """All texts of a record that a query may match, as one array."""
-    empty = F.array().cast("array<string>")
-    listed = [F.coalesce(c, empty) for c in (names, aliases, institutions)]
-    return F.filter(F.concat(F.array(*more), *listed), lambda x: x.isNotNull())
+FACETS = tuple(MISSING)
 
 
 def search_index(rows: DataFrame) -> DataFrame:
-    """rows with search_key (texts joined by NUL, so that no match spans two) and id_keys (namespace:value)."""
-    texts = searchable(F.col("name.localized.value"), F.col("aliases.value"), F.col("institution_names"), F.col("id"), F.col("name.canonical"), F.col("country_code"))
-    numbers = F.coalesce(F.col("external_ids.value"), F.array().cast("array<string>"))
-    ids = F.transform("external_ids", lambda x: F.lower(F.concat_ws(":", x["namespace"], x["value"])))
-    return rows.withColumn("search_key", search_keys(F.concat(texts, numbers))).withColumn("id_keys", ids)
+    """rows with search_key (texts joined by NUL, so that no match spans two), id_keys (namespace:value) and facets, all normalised.
+
+    The texts are id, taxon, population, the names, the aliases, the values of the external ids and
+    the institutions. All keys of a row are made in one pass, once for all queries.
+    """
+    empty = F.array().cast("array<string>")
+    listed = [F.coalesce(F.col(c), empty) for c in ("name.localized.value", "aliases.value", "external_ids.value", "institution_names")]
+    texts = F.concat(F.array("id", "taxon", "population", "name.canonical"), *listed)
+    ids = F.transform("external_ids", lambda x: F.concat(F.coalesce(x["namespace"], F.lit("null")), F.lit(":"), F.coalesce(x["value"], F.lit("null"))))
+    facets = F.array(*[F.coalesce(F.col(c), F.lit(MISSING[c])) for c in FACETS])
+    keys = normalized_lists(texts, F.coalesce(ids, empty), facets)
+    rows = rows.withColumn("_k", keys)
+    rows = rows.withColumn("search_key", F.array_join(F.filter("_k.a", lambda x: x != ""), "\0")).withColumn("id_keys", F.col("_k.b"))
+    return rows.withColumn("facets", F.map_from_arrays(F.array(*map(F.lit, FACETS)), "_k.c")).drop("_k")
 
 
 def facet_is(column: str, value: str) -> Column:
-    """Equality after normalising both sides; null counts as the facet's missing value."""
-    return F.lower(F.trim(F.coalesce(F.col(column), F.lit(MISSING[column])))) == (search_text(value) or "")
+    """Whether a row of an index has a facet, both normalised; null counts as the facet's missing value."""
+    return F.col("facets")[column] == (search_text(value) or "")
 
 
 def photo_facet(value: str, column: str = "photo_confirmed") -> Column | None:
@@ -45,9 +50,9 @@ def search(index: DataFrame, query: str = "", photo: str = "", **facets: str) ->
     ``namespace:value`` of one of its ids; an empty query matches every row.
     """
     for column, value in facets.items():
-        if value:
+        if search_text(value):
             index = index.where(facet_is(column, value))
-    flag = photo_facet(photo)
+    flag = photo_facet(search_text(photo) or "")
     if flag is not None:
         index = index.where(flag)
     q = search_text(query) or ""

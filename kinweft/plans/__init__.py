@@ -2,6 +2,6 @@
 
 
 def registries() -> list:
-    from kinweft.plans import checks, layouts, merging, pedigree, search, streams, structure
+    from kinweft.plans import checks, importing, layouts, merging, pedigree, search, streams, structure
 
-    return [checks.REG, layouts.REG, merging.REG, pedigree.REG, search.REG, streams.REG, structure.REG]
+    return [checks.REG, importing.REG, layouts.REG, merging.REG, pedigree.REG, search.REG, streams.REG, structure.REG]

@@ -252,14 +252,24 @@ def url_param(spark: SparkSession, sf: str) -> DataFrame:
     return d.where("id_param is not null")
 
 
-@REG.add("content_scan", "select distinct doc_id, finding from (select doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s\"''<>)]+')) finding from documents)")
+# RE2 has no lookahead: what is not to be found is taken out afterwards.
+_SCAN_SQL = r"""select distinct doc_id, kind, finding from (
+  select doc_id, 'web_url' kind, unnest(regexp_extract_all(text, 'https?://[^\s"''<>)]+')) finding from documents
+  union all select doc_id, 'data_uri', unnest(regexp_extract_all(text, '(?i)data:image/')) from documents
+  union all select doc_id, 'local_image', unnest(regexp_extract_all(text, '(?i)(?:src|href)\s*=\s*(?:"[^''"]+\.(?:jpe?g|png|webp)(?:[?#][^''"]*)?"|''[^''"]+\.(?:jpe?g|png|webp)(?:[?#][^''"]*)?'')')) from documents
+  union all select doc_id, 'css_url', unnest(regexp_extract_all(text, '(?i)url\(\s*(?:"[^)''"\s]+\.(?:jpe?g|png|webp)(?:[?#][^)''"\s]*)?"|''[^)''"\s]+\.(?:jpe?g|png|webp)(?:[?#][^)''"\s]*)?''|[^)''"\s]+\.(?:jpe?g|png|webp)(?:[?#][^)''"\s]*)?)\s*\)')) from documents)
+where kind in ('web_url', 'data_uri') or not regexp_matches(finding, '[=(]\s*["'']?(https?://|//|data:)', 'i')"""
+
+
+@REG.add("content_scan", _SCAN_SQL)
 def content_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.content_scan(table(spark, sf, "documents"), "doc_id", "text", ("web_url",)).select("doc_id", "finding")
+    return scan.content_scan(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@REG.add("key_scan")
+@REG.add("key_scan", "select payload_id::varchar \"key\", replace(fullkey, '\"', '') path, value ->> '$' as \"value\" from (select payload_id, t.fullkey fullkey, t.key k, t.type type, t.value as value from (select * from atlas_payloads where json_valid(payload)) p, json_tree(p.payload) t) where k in ('date', 'value') and type = 'VARCHAR'")
 def key_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.key_scan(table(spark, sf, "atlas_payloads"), "payload_id", "payload", ("date", "value"))
+    """The dates and values of the payloads by their names, whatever lies around them."""
+    return scan.key_scan(table(spark, sf, "atlas_payloads"), "payload_id", "payload", ("date", "value"), photos=False)
 
 
 @REG.add("url_stats", tb.ctes("med") + f"select coalesce(license_name, 'none') grp, family, count(*) n, count(distinct url) n_unique, count(*) filter (not {_WEB.format('url')}) n_bad from (select license_name, 'page' family, source_page_url url from med union all select license_name, 'file', direct_remote_url from med union all select license_name, 'thumbnail', direct_thumbnail_url from med) where url is not null and url <> '' group by all")
@@ -291,7 +301,7 @@ def repeatable(spark: SparkSession, sf: str) -> DataFrame:
     return audit.repeatable(a, "id", "sex")
 
 
-@REG.add("labels")
+@REG.add("labels", tb.ctes("rel") + "select distinct type, case type when 'biological_mother' then 'Mother' when 'biological_father' then 'Father' else upper(type[1]) || type[2:] end label from rel")
 def labels(spark: SparkSession, sf: str) -> DataFrame:
     t = tb.relationships(spark, sf).select("type").distinct()
     return t.select("type", text.label(F.col("type"), {"biological_mother": "Mother", "biological_father": "Father"}).alias("label"))

@@ -49,9 +49,9 @@ def semantic_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return me.semantic_dedup(r, ["subject", "object", "type"], "id")
 
 
-@REG.add("remap_ids", tb.ctes("rel", more="x as (select id old, min('p-' || substr(id, 4)) new from animals where id like '%7' group by id)") + "select r.id, coalesce(s.new, r.subject) subject, coalesce(o.new, r.object) object from rel r left join x s on s.old = r.subject left join x o on o.old = r.object")
+@REG.add("remap_ids", tb.ctes("rel", more="x as (select id old, min('p-' || substr(id, 4)) new from animals where id is not null group by id)") + "select r.id, coalesce(s.new, r.subject) subject, coalesce(o.new, r.object) object from rel r left join x s on s.old = r.subject left join x o on o.old = r.object")
 def remap_ids(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "animals").where("id like '%7'").select(F.col("id").alias("old"), F.concat(F.lit("p-"), F.expr("substr(id, 4)")).alias("new")).distinct()
+    x = table(spark, sf, "animals").where("id is not null").select(F.col("id").alias("old"), F.concat(F.lit("p-"), F.expr("substr(id, 4)")).alias("new")).distinct()
     return me.remap(tb.relationships(spark, sf).select("id", "subject", "object"), x, "subject", "object").select("id", "subject", "object")
 
 
@@ -74,19 +74,19 @@ def unpivot_claims(spark: SparkSession, sf: str) -> DataFrame:
     return me.unpivot_claims(_side(spark, sf, "upstream"), "id", ["sex", "status", "population"])
 
 
-@REG.add("event_upsert", tb.ctes("ev", more=f"x as (select animal_id, type, coalesce(date.value, '') at_, coalesce(institution_id, '') place, {tb.KEY.format('c')} c, case when id < 'ev-000000300' then 0 else 1 end t from (select *, unnest(case when len(source_ids) > 0 then source_ids else [null] end) c from ev))") + "select animal_id, type, at_ as at, place, coalesce(string_agg(distinct c, ',' order by c), '') source_ids, case when min(t) = 1 then 'inserted' when max(t) = 1 then 'cited' else 'kept' end state from x group by animal_id, type, at_, place")
+@REG.add("event_upsert", tb.ctes("ev", more=f"x as (select animal_id, type, coalesce(date.value, '') at_, coalesce(institution_id, '') place, {tb.KEY.format('c')} c, case when notes is null then 0 else 1 end t from (select *, unnest(case when len(source_ids) > 0 then source_ids else [null] end) c from ev))") + "select animal_id, type, at_ as at, place, coalesce(string_agg(distinct c, ',' order by c), '') source_ids, case when min(t) = 1 then 'inserted' when max(t) = 1 then 'cited' else 'kept' end state from x group by animal_id, type, at_, place")
 def event_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    e = tb.events(spark, sf).select("id", "animal_id", "type", F.coalesce("date.value", F.lit("")).alias("at"), F.coalesce("institution_id", F.lit("")).alias("place"), F.transform("source_ids", lambda c: id_key(c)).alias("source_ids"))
-    return me.event_upsert(e.where("id < 'ev-000000300'"), e.where("id >= 'ev-000000300'"), ["animal_id", "type", "at", "place"])
+    e = tb.events(spark, sf).select("id", "notes", "animal_id", "type", F.coalesce("date.value", F.lit("")).alias("at"), F.coalesce("institution_id", F.lit("")).alias("place"), F.transform("source_ids", lambda c: id_key(c)).alias("source_ids"))
+    return me.event_upsert(e.where("notes is null"), e.where("notes is not null"), ["animal_id", "type", "at", "place"])
 
 
-_FOREIGN = tb.ctes("rel", more="n as (select id, max(sex) sex from animals where id is not null and id not like '%3' group by id), f as (select id, object child, subject parent, case when type like 'bio%' then 'family' else type end label from rel), c as (select f.*, nc.id cid, np.id pid, np.sex psex, row_number() over (partition by parent, child, label order by f.id) k from f left join n nc on nc.id = f.child left join n np on np.id = f.parent), d as (select id, parent subject, child object, label, case when label <> 'family' then 'excluded_label' when cid is null and pid is null then 'excluded_both_unknown' when cid is null then 'excluded_unknown_child' when pid is null then 'excluded_unknown_parent' when child = parent then 'excluded_self_parent' when k > 1 then 'mapped_repeated' when psex = 'female' then 'mapped_mother' when psex = 'male' then 'mapped_father' else 'mapped_parent' end outcome from c)")
+_FOREIGN = tb.ctes("rel", more="n as (select id, max(sex) sex from animals where id is not null group by id having max(deleted_at) is null), f as (select id, object child, subject parent, case when type like 'bio%' then 'family' else type end label from rel), c as (select f.*, nc.id cid, np.id pid, np.sex psex, row_number() over (partition by parent, child, label order by f.id) k from f left join n nc on nc.id = f.child left join n np on np.id = f.parent), d as (select id, parent subject, child object, label, case when label <> 'family' then 'excluded_label' when cid is null and pid is null then 'excluded_both_unknown' when cid is null then 'excluded_unknown_child' when pid is null then 'excluded_unknown_parent' when child = parent then 'excluded_self_parent' when k > 1 then 'mapped_repeated' when psex = 'female' then 'mapped_mother' when psex = 'male' then 'mapped_father' else 'mapped_parent' end outcome from c)")
 
 
 def _dispositions(spark: SparkSession, sf: str) -> DataFrame:
     r = tb.relationships(spark, sf)
     foreign = r.select("id", F.col("object").alias("child"), F.col("subject").alias("parent"), F.when(F.col("type").startswith("bio"), "family").otherwise(F.col("type")).alias("label"))
-    nodes = table(spark, sf, "animals").where("id is not null and id not like '%3'").select("id", "sex")
+    nodes = table(spark, sf, "animals").where("id is not null").groupBy("id").agg(F.max("sex").alias("sex"), F.max("deleted_at").alias("gone")).where("gone is null").select("id", "sex")
     return me.edge_classify(foreign, nodes)
 
 

@@ -16,7 +16,8 @@ from kinweft.session import id_key, table
 
 REG = Registry()
 FOCUS = "an-000000100"
-STARTS = ["an-000000015", "an-000000100", "an-000000250"]
+#: The walks start from every id that this divides.
+EVERY = 50
 
 
 def _ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,12 +106,11 @@ def gen_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 def _walk_sql(upward: bool) -> str:
     src, dst = ("object", "subject") if upward else ("subject", "object")
-    starts = ", ".join(f"('{s}')" for s in STARTS)
-    return tb.ctes("rel", more=f"b as (select distinct {src} a, {dst} b from rel where type in ('biological_mother', 'biological_father')), w(s, node, n) as (select col0, col0, 0 from (values {starts}) v(col0) union select w.s, b.b, w.n + 1 from w join b on b.a = w.node where w.n < 40)") + "select s start_id, node animal_id, cast(min(n) as int) distance from w group by all"
+    return tb.ctes("rel", more=f"st as (select distinct id s from animals where regexp_extract(id, '(\\d+)$', 1)::bigint % {EVERY} = 0), b as (select distinct {src} a, {dst} b from rel where type in ('biological_mother', 'biological_father')), w(s, node, n) as (select s, s, 0 from st union select w.s, b.b, w.n + 1 from w join b on b.a = w.node where w.n < 40)") + "select s start_id, node animal_id, cast(min(n) as int) distance from w group by all"
 
 
 def _walk(spark: SparkSession, sf: str, upward: bool) -> DataFrame:
-    starts = spark.createDataFrame([(s,) for s in STARTS], "start string")
+    starts = _ids(spark, sf).where(F.pmod(F.regexp_extract("id", r"(\d+)$", 1).cast("bigint"), F.lit(EVERY)) == 0).select(F.col("id").alias("start"))
     e = tb.relationships(spark, sf).where(F.col("type").isin(*st.BIOLOGICAL))
     return gr.walk(e, starts, upward).select(F.col("start").alias("start_id"), F.col("node").alias("animal_id"), F.col("distance").cast("int").alias("distance"))
 
@@ -135,6 +135,21 @@ def focused(spark: SparkSession, sf: str) -> DataFrame:
     return gr.focused(e, FOCUS, 3, None).select(F.col("node").alias("animal_id"), F.col("generation").cast("int").alias("generation"))
 
 
+@REG.add("focused_capped", tb.ctes("rel", more=f"g as (select subject s, object o, min(id) id from rel where type in ('biological_mother', 'biological_father', 'foster', 'adoptive') group by all), one as (select s node, -1 gen, id from g where o = '{FOCUS}' and s <> '{FOCUS}'), two as (select o node, 1 gen, id from g where s = '{FOCUS}' and o <> '{FOCUS}' and o not in (select node from one)), all_ as (select node, gen, row_number() over (order by gen, id) k, count(*) over () n from (select * from one union all select * from two))") + f"select '{FOCUS}' animal_id, 0 generation, (select count(*) from all_) > 2 truncated union all select node, gen, n > 2 from all_ where k <= 2")
+def focused_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """The same view with room for three nodes: what is refused is told."""
+    e = tb.relationships(spark, sf).where(F.col("type").isin(*gr.GENERATION_TYPES))
+    return gr.focused(e, FOCUS, 1, 3).select(F.col("node").alias("animal_id"), "generation", "truncated")
+
+
+@REG.add("focused_rows")
+def focused_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of the view around one animal, mothers left of fathers, couples side by side, crossings before and after."""
+    near = focused(spark, sf)
+    e = gr.induced_edges(tb.relationships(spark, sf), near, "animal_id").select("type", "subject", "object")
+    return lo.focused_rows(near.select(F.col("animal_id").alias("id"), "generation"), e)
+
+
 @REG.add("parent_pairs", tb.ctes("rel") + "select distinct m.object child, m.subject mother, f.subject father from rel m join rel f on f.object = m.object where m.type = 'biological_mother' and f.type = 'biological_father' and m.subject <> f.subject")
 def parent_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return gr.parent_pairs(tb.relationships(spark, sf))
@@ -201,6 +216,18 @@ def row_positions(spark: SparkSession, sf: str) -> DataFrame:
     return gr.row_positions(_rows(spark, sf)).select("id", "generation", "position", F.round("x", 2).alias("x"))
 
 
+@REG.add("parent_order", tb.ctes("rel", more=_ROWS) + "select distinct m.object child, m.subject mother, f.subject father from rel m join rel f on f.object = m.object join rp a on a.id = m.subject join rp b on b.id = f.subject where m.type = 'biological_mother' and f.type = 'biological_father' and m.subject <> f.subject and a.generation = b.generation and a.pos >= b.pos")
+def parent_order(spark: SparkSession, sf: str) -> DataFrame:
+    return gr.parent_order_violations(gr.row_positions(_rows(spark, sf)), tb.relationships(spark, sf))
+
+
+@REG.add("locale_order")
+def locale_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The animals of each country as a reader sorts them."""
+    a = tb.animals(spark, sf).select("id", "country_code", F.col("name.canonical").alias("name"))
+    return gr.locale_order(a, ["country_code"], "country_code", "name", "id", "ZZ").select("id", "country_code", "place")
+
+
 @REG.add("normalized_rank", tb.ctes("rel", more=_ROWS) + "select id, round(pos / greatest(n - 1, 1), 6) rank01 from rp")
 def normalized_rank(spark: SparkSession, sf: str) -> DataFrame:
     return gr.normalized_rank(_rows(spark, sf), "generation", "id").select("id", F.round("rank01", 6).alias("rank01"))

@@ -13,13 +13,13 @@ from kinweft.plans.base import Registry
 from kinweft.session import table
 
 REG = Registry()
-_NORM = "lower(strip_accents(trim({})))"
+_NORM = "trim(regexp_replace(lower(strip_accents({})), '\\s+', ' ', 'g'))"
 
 
-@REG.add("facet_filter", tb.ctes("sr") + "select id, taxon, country_code from sr where lower(trim(coalesce(taxon, ''))) = 'ailurus fulgens' and lower(trim(coalesce(status, 'unknown'))) = 'unknown'")
+@REG.add("facet_filter", tb.ctes("sr") + f"select id, taxon, country_code from sr where {_NORM.format("coalesce(taxon, '')")} = 'ailurus fulgens' and {_NORM.format("coalesce(status, 'unknown')")} = 'unknown'")
 def facet_filter(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tb.search_rows(spark, sf)
-    return rows.where(se.facet_is("taxon", "Ailurus fulgens") & se.facet_is("status", "unknown")).select("id", "taxon", "country_code")
+    rows = se.search_index(tb.search_rows(spark, sf))
+    return se.search(rows, taxon="Ailurus  fulgens", status="Unknown").select("id", "taxon", "country_code")
 
 
 @REG.add("facet_tristate", tb.ctes("sr") + "select case when photo_confirmed is true then 'confirmed' else 'unconfirmed' end facet, count(*) n from sr group by all")
@@ -38,7 +38,7 @@ def facet_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HIT = """hit as (select id, name.canonical canonical, status, external_ids from sr where len(list_filter(
-  list_concat([id, name.canonical, country_code], list_concat(coalesce(list_transform(name.localized, lambda x: x.value), []), list_concat(coalesce(list_transform(aliases, lambda x: x.value), []), list_concat(coalesce(institution_names, []), coalesce(list_transform(external_ids, lambda x: x.value), []))))),
+  list_concat([id, taxon, population, name.canonical], list_concat(coalesce(list_transform(name.localized, lambda x: x.value), []), list_concat(coalesce(list_transform(aliases, lambda x: x.value), []), list_concat(coalesce(institution_names, []), coalesce(list_transform(external_ids, lambda x: x.value), []))))),
   lambda x: contains(lower(strip_accents(x)), 'kar'))) > 0)"""
 
 
@@ -47,11 +47,17 @@ def text_search(spark: SparkSession, sf: str) -> DataFrame:
     return se.search(se.search_index(tb.search_rows(spark, sf)), "Kar").select("id", F.col("name.canonical").alias("canonical"))
 
 
-@REG.add("text_search_faceted", tb.ctes("sr", more=_HIT) + "select id, canonical from hit where lower(trim(coalesce(status, 'unknown'))) = 'living'")
+@REG.add("text_search_faceted", tb.ctes("sr", more=_HIT) + "select id, canonical from hit where trim(lower(coalesce(status, 'unknown'))) = 'living'")
 def text_search_faceted(spark: SparkSession, sf: str) -> DataFrame:
     return se.search(se.search_index(tb.search_rows(spark, sf)), "kar", status="living").select("id", F.col("name.canonical").alias("canonical"))
 
 
+@REG.add("search_taxon", tb.ctes("sr") + f"select id from sr where contains({_NORM.format('taxon')}, 'us mar')")
+def search_taxon(spark: SparkSession, sf: str) -> DataFrame:
+    """A query finds taxa, and no countries."""
+    return se.search(se.search_index(tb.search_rows(spark, sf)), "US  Mar").select("id")
+
+
 @REG.add("search_exact_id", "select distinct id, concat_ws(':', x.namespace, x.value) id_key from (select id, unnest(external_ids) x from animals) where concat_ws(':', lower(x.namespace), lower(x.value)) in ('isb:0000015', 'isb:0000074', 'isb:0000100')")
 def search_exact_id(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "animals").select("id", F.explode("external_ids").alias("x")).select("id", F.concat_ws(":", "x.namespace", "x.value").alias("id_key"))

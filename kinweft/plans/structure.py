@@ -39,6 +39,12 @@ left join (select u.rel_type, u.v, l.low, min(u.n) n from up u join loops l on l
 left join (select rel_type, v, max_by(a, n) a, max(n) n from up group by all) t on t.rel_type = n.rel_type and t.v = n.v"""
 
 
+_UP = """reach(rel_type, v, a) as (select rel_type, v, p from edges union select r.rel_type, r.v, e.p from reach r join edges e on e.rel_type = r.rel_type and e.v = r.a),
+ring as (select rel_type, v from reach where v = a),
+up(rel_type, v, a, n) as (select rel_type, v, p, 1 from edges where (rel_type, v) not in (select (rel_type, v) from ring)
+  union all select u.rel_type, u.v, e.p, u.n + 1 from up u join edges e on e.rel_type = u.rel_type and e.v = u.a where (u.rel_type, u.a) not in (select (rel_type, v) from ring))"""
+
+
 @REG.add(
     "p2_found",
     STATES_SQL + STATES_SELECT,
@@ -48,7 +54,13 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("rel_type", F.col("node").alias("animal_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), "state")
 
 
-@REG.add("p2_paths")
+@REG.add(
+    "p2_paths",
+    f"""with recursive {_EDGES}, {_UP},
+nodes as (select rel_type, p v from edges union select rel_type, v from edges),
+above as (select rel_type, v, string_agg(a, '/' order by n desc) l from up group by all), below as (select rel_type, a, count(*) n from up group by all)
+select n.rel_type, n.v animal_id, coalesce(above.l || '/', '') || n.v as path, coalesce(below.n, 0) + 1 subtree_size from nodes n left join above on above.rel_type = n.rel_type and above.v = n.v left join below on below.rel_type = n.rel_type and below.a = n.v""",
+)
 def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
     h = hierarchy(lineage_edges(spark, sf), key="rel_type", with_path=True)
     return h.select("rel_type", F.col("node").alias("animal_id"), F.array_join("path", "/").alias("path"), F.col("subtree_size").cast("bigint").alias("subtree_size"))
@@ -57,10 +69,7 @@ def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
 @REG.add(
     "p2_descendants",
     f"""with recursive {_EDGES},
-reach(rel_type, v, a) as (select rel_type, v, p from edges union select r.rel_type, r.v, e.p from reach r join edges e on e.rel_type = r.rel_type and e.v = r.a),
-ring as (select rel_type, v from reach where v = a),
-up(rel_type, v, a, n) as (select rel_type, v, p, 1 from edges where (rel_type, v) not in (select (rel_type, v) from ring)
-  union all select u.rel_type, u.v, e.p, u.n + 1 from up u join edges e on e.rel_type = u.rel_type and e.v = u.a where (u.rel_type, u.a) not in (select (rel_type, v) from ring))
+{_UP}
 select rel_type, a animal_id, v descendant_id, cast(n as int) distance from up""",
 )
 def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:

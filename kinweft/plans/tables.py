@@ -12,7 +12,7 @@ KEY = "nullif(lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g')), '')"
 SQL = {
     "an": "an as (select * from (select *, row_number() over (partition by id order by loaded_at desc, coalesce(dataset, ''), coalesce(sex, ''), coalesce(status, '')) rn from animals where id is not null) where rn = 1)",
     "sr": "sr as (select distinct on (id) * from search_rows where id is not null)",
-    "ev": f"ev as (select id, {KEY.format('animal_id')} animal_id, type, date, {KEY.format('institution_id')} institution_id, {KEY.format('from_institution_id')} from_institution_id, {KEY.format('to_institution_id')} to_institution_id, source_ids, related_animal_ids, outcome_count from (select distinct on (id) * from atlas_events where id is not null))",
+    "ev": f"ev as (select id, {KEY.format('animal_id')} animal_id, type, date, {KEY.format('institution_id')} institution_id, {KEY.format('from_institution_id')} from_institution_id, {KEY.format('to_institution_id')} to_institution_id, source_ids, related_animal_ids, outcome_count, notes from (select distinct on (id) * from atlas_events where id is not null))",
     "rel": f"rel as (select id, {KEY.format('subject')} subject, {KEY.format('object')} object, type, status, source_ids, review from (select distinct on (id) * from relationships where id is not null))",
     "med": f"med as (select distinct on (media_id) * exclude (animal_id), {KEY.format('animal_id')} animal_id from media where media_id is not null)",
     "inst": "inst as (select * from institutions where id is not null)",

@@ -75,6 +75,7 @@ def test_search(spark):
     ix_ = se.search_index(search_rows(spark))
     found = lambda *a, **k: sorted(r["id"] or "-" for r in se.search(ix_, *a, **k).collect())
     assert found("fuka") == ["r1"] and found("風花") == ["r1"] and found("SCHONBRUNN") == ["r2"] and found("nandu") == ["r2"]
+    assert found("ursus") == ["r2"] and found("zoo_capt") == ["r1"] and found("jp") == [] and found("", taxon="URSUS  maritimus") == ["r2"]
     assert found("studbook") == [] and found("studbook:77") == ["r1"] and found("") == ["-", "r1", "r2"]
     assert found("", status="unknown") == ["-", "r1"] and found("", sex="UNKNOWN") == ["-", "r2"] and found("", country_code="jp") == ["r1"]
     assert found("", photo="confirmed") == ["r1"] and found("", photo="unconfirmed") == ["-", "r2"] and found("", photo="any") == ["-", "r1", "r2"]

@@ -53,15 +53,15 @@ def test_identity_fixpoint(spark):
 
 
 def test_rules(spark):
-    animal = "id string, taxon string, sex string, status string, population string, name struct<canonical:string,language:string,source_ids:array<string>>, aliases array<struct<value:string,language:string>>, external_ids array<struct<namespace:string,value:string>>, review struct<status:string,reviewed_on:string>"
-    good = ("a", "Ailurus fulgens", "male", "living", None, ("N", "en", ["s"]), [], [], ("reviewed", "2020-01-31"))
+    animal = "id string, taxon string, sex string, status string, population string, name struct<canonical:string,language:string,source_ids:array<string>,localized:array<struct<value:string,language:string,source_ids:array<string>>>>, aliases array<struct<value:string,language:string,source_ids:array<string>>>, external_ids array<struct<namespace:string,value:string>>, review struct<status:string,reviewed_on:string,notes:string>"
+    good = ("a", "Ailurus fulgens", "male", "living", None, ("N", "en", ["s"], [("M", "ja", ["s"])]), [("O", "en", ["s"])], [], ("reviewed", "2020-01-31", ""))
     assert va.animal_issues(df(spark, animal, good)).count() == 0
-    for k, (at, value, code) in enumerate([(1, " ", "invalid_animal"), (2, "x", "invalid_animal"), (3, None, "invalid_animal"), (4, "x", "invalid_population"), (5, ("N", "en", []), "missing_evidence"), (6, [("", "en")], "invalid_alias"), (8, ("x", "2020-01-31"), "invalid_review"), (8, ("reviewed", "2020-02-30"), "invalid_review_date")]):
+    for k, (at, value, code) in enumerate([(1, " ", "invalid_animal"), (2, "x", "invalid_animal"), (3, None, "invalid_animal"), (4, "x", "invalid_population"), (5, ("N", "en", [], None), "missing_evidence"), (5, ("N", "en", ["s"], [("M", "ja", None)]), "missing_evidence"), (6, [("", "en", ["s"])], "invalid_alias"), (6, [("x", "en", None)], "missing_evidence"), (8, ("x", "2020-01-31", None), "invalid_review"), (8, ("reviewed", "2020-02-30", ""), "invalid_review_date"), (8, ("reviewed", "2020-02-28", None), "invalid_review")]):
         bad = list(good)
         bad[at] = value
         assert [r["code"] for r in va.animal_issues(df(spark, animal, tuple(bad))).collect()] == [code], k
-    rel = "id string, subject string, object string, type string, status string, source_ids array<string>"
-    assert rows(va.relation_issues(df(spark, rel, ("r", "a", "a", "social", "confirmed", ["s"]))))[0][:2] == ("self_ancestry", "$.relationships[r].object")
+    rel = "id string, subject string, object string, type string, status string, source_ids array<string>, review struct<status:string,reviewed_on:string,notes:string>"
+    assert rows(va.relation_issues(df(spark, rel, ("r", "a", "a", "social", "confirmed", ["s"], ("reviewed", "2020-01-31", "")))))[0][:2] == ("self_ancestry", "$.relationships[r].object")
     keys = [("one", df(spark, "id string", ("x",), ("x",), (None,)), "id"), ("two", df(spark, "id string", ("x",), ("y",)), "id")]
     assert rows(va.duplicates(keys).select("code", "path")) == [("duplicate_id", "$.one[x].id"), ("duplicate_internal_id", "$.two[x].id")]
 
@@ -70,7 +70,9 @@ def test_scans_and_audits(spark):
     t = df(spark, "id int, t string", (1, '<img src="a/b.png"> url(x.jpg) https://q.example/z <img src="https://q/y.png">'), (2, None), (3, ""))
     assert {(r["kind"]) for r in scan.content_scan(t, "id", "t").collect()} == {"local_image", "css_url", "web_url"}
     j = df(spark, "id int, p string", (1, '{"a": [{"photo": "x.png"}], "path": "y", "path2": 3}'), (2, "{"), (3, None))
-    assert rows(scan.key_scan(j, "id", "p")) == [("1", "$.a[0].photo", "x.png"), ("1", "$.path", "y")]
+    assert rows(scan.key_scan(j, "id", "p", ("photo", "path"), photos=False)) == [("1", "$.a[0].photo", "x.png"), ("1", "$.path", "y")]
+    m = df(spark, "id int, p string", (1, '{"a": {"local_path": "x/Y.JPG?v=1", "relative_path": "z.txt", "my_local_path": "q.png"}, "m": [{"direct_remote_url": "https://h.example/x.png"}, {"direct_remote_url": "http://localhost/x.png"}, {"direct_remote_url": "data:image/png;x"}, {"direct_remote_url": "x.png"}, {"direct_remote_url": ""}]}'))
+    assert [r[1] for r in rows(scan.key_scan(m, "id", "p"))] == ["$.a.local_path", "$.m[1].direct_remote_url", "$.m[2].direct_remote_url", "$.m[3].direct_remote_url"]
     n = df(spark, "g string, v int", *[("g", i) for i in range(1, 121)])
     assert tuple(audit.latency_summary(n, "g", "v").first())[1:] == (60, 114, 60.5, 120)
     arr = df(spark, "a array<int>", ([1, 2, 4, 9],), ([3],), ([],))
