@@ -3,12 +3,14 @@
 import random
 from itertools import combinations
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from kinweft.operators import geometry as ge
 from kinweft.operators import graph as gr
 from kinweft.operators import layout as lo
+from kinweft.plans import pedigree
 
 EDGES = "id string, subject string, object string, type string"
 M, P, S = "biological_mother", "biological_father", "social"
@@ -39,6 +41,60 @@ def test_walk_focus_and_cap(spark):
     assert [r["node"] for r in gr.focused(edges(spark, ("a", "b", M)), "lone").collect()] == ["lone"]
 
 
+def test_levels_by_rounds_and_in_one_task(spark):
+    rng = random.Random(3)
+    names = [f"n{i:03}" for i in range(90)]
+    pairs = [(names[a], names[b]) for a, b in (sorted(rng.sample(range(70), 2)) for _ in range(110))] + [("n080", "n081"), ("n081", "n080"), ("n081", "n060"), ("n085", "n085")]
+    e = edges(spark, *((a, b, M) for a, b in pairs), ("n001", "gone", M))
+    level = dict.fromkeys(names, 0)
+    for _ in names:
+        for a, b in pairs:
+            level[b] = max(level[b], level[a] + 1)
+    want = sorted(((n, g if g < 90 else None) for n, g in level.items()), key=str)
+    for most in (gr.ONE_TASK, 60, 0):
+        assert rows(gr.levels(nodes(spark, names), e, most=most)) == want
+
+
+def jobs(spark, run):
+    """What run gives, and how many jobs it took."""
+    spark.sparkContext.setJobGroup(name := f"jobs-{random.random()}", name)
+    out = run()
+    n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, n
+
+
+@pytest.mark.parametrize("upward", [False, True])
+def test_walks_take_no_rounds(spark, upward):
+    def walked(n, **more):
+        chain = edges(spark, *((f"{i:03}", f"{i + 1:03}", M) for i in range(n)), (f"{n:03}", f"{n - 2:03}", P))
+        starts = spark.createDataFrame([(f"{n:03}",), ("lone",), ("000",)], "start string")
+        return rows(gr.walk(chain, starts, upward, **more))
+
+    got, n = jobs(spark, lambda: walked(60))
+    assert n < 40 and ("lone", "lone", 0) in got and (("000", "060", 60) in got) != upward and (("060", "000", 60) in got) == upward
+    assert walked(5) == walked(5, most=0) and {r[2] for r in walked(5, depth=2)} == {0, 1, 2}
+
+
+DEEP = 51_000
+
+
+@pytest.fixture(scope="module")
+def deep(spark, tmp_path_factory):
+    """A folder with one family of more than 50,000 nodes, each below the last, and a loop beside it."""
+    sf = tmp_path_factory.mktemp("deep")
+    n = spark.range(DEEP).select(F.format_string("an-%09d", "id").alias("id"))
+    n.unionByName(spark.createDataFrame([("an-x",), ("an-y",)], "id string")).write.parquet(f"{sf}/animals.parquet")
+    e = spark.range(DEEP - 1).select(F.format_string("r%d", "id").alias("id"), F.format_string("an-%09d", "id").alias("subject"), F.format_string("an-%09d", F.col("id") + 1).alias("object"))
+    e = e.unionByName(spark.createDataFrame([("x", "an-x", "an-y"), ("y", "an-y", "an-x")], "id string, subject string, object string"))
+    e.withColumn("type", F.lit(M)).withColumn("loaded_at", F.lit(None).cast("timestamp")).write.parquet(f"{sf}/relationships.parquet")
+    return str(sf)
+
+
+def test_acyclic_of_a_deep_family(spark, deep):
+    assert rows(pedigree.acyclic(spark, deep)) == [("an-x",), ("an-y",)]
+
+
 def test_edges_and_pairs(spark):
     e = edges(spark, ("m", "c", M), ("f", "c", P), ("m", "c", P), ("c", "c", S), ("m", "q", M))
     assert rows(gr.parent_pairs(e)) == [("c", "m", "f")]
