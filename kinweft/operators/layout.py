@@ -6,17 +6,21 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from heapq import heapify, heappop, heappush
+from itertools import groupby
 from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweft.scratch import Scratch
-from kinweft.session import plain
+from kinweft.session import plain, tasks
 
 #: Families of up to so many nodes are ordered in one task, larger ones by joins, with equal results.
-ALONE = 50_000
+ALONE = 10_000_000
+#: Pieces of edges whose crossings are counted at once.
+PIECES = 2_000_000
 #: Over so many nodes the search has fewer passes.
 LARGE, PASSES, FEWER = 500, 8, 5
 
@@ -178,6 +182,98 @@ def optimise(rows: dict[int, list[str]], edges: list[tuple[str, str]], large: in
     return best, before, crossings(best, edges)
 
 
+def _inversions_within(group: np.ndarray, v: np.ndarray) -> int:
+    """What ``inversions`` counts, summed over groups that lie together, bit by bit from the highest."""
+    total = 0
+    for bit in range(int(v.max()).bit_length() - 1 if len(v) else -1, -1, -1):
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        alone = new & np.concatenate([new[1:], [True]])
+        if alone.any():
+            group, v = group[~alone], v[~alone]
+            new = np.concatenate([[True], group[1:] != group[:-1]])
+        if not len(v):
+            break
+        first, g = np.flatnonzero(new), np.cumsum(new) - 1
+        one = (v >> bit) & 1
+        before = np.cumsum(one) - one
+        before -= before[first][g]
+        total += int(before[one == 0].sum())
+        zeros = np.add.reduceat(1 - one, first)[g]
+        at = np.where(one == 1, first[g] + zeros + before, np.arange(len(v)) - before)
+        group_, v_ = np.empty_like(g), np.empty_like(v)
+        group_[at], v_[at] = 2 * g + one, v
+        group, v = group_, v_
+    return total
+
+
+def _crossings_by_number(level: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray) -> int:
+    """``crossings`` of the edges from a to b, a in the earlier row, for the places of the nodes."""
+    if not len(a):
+        return 0
+    la, lb, pa, pb = level[a], level[b], place[a], place[b]
+    low, high = int(la.min()), int(lb.max())
+    open_ = np.cumsum(np.bincount(la - low, minlength=high - low + 1) - np.bincount(lb - low, minlength=high - low + 1))[:-1]
+    total, lo = 0, 0
+    upto = np.cumsum(open_)
+    while lo < len(open_):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PIECES, "right")))
+        at = np.flatnonzero((la < low + hi) & (lb > low + lo))
+        k0 = np.maximum(la[at], low + lo)
+        n = np.minimum(lb[at], low + hi) - k0
+        e = np.repeat(at, n)
+        band = np.repeat(k0 - np.cumsum(n) + n, n) + np.arange(n.sum())
+        k, span, rise = band - la[e], lb[e] - la[e], pb[e] - pa[e]
+        start, end = pa[e] + rise * k / span, pa[e] + rise * (k + 1) / span
+        order = np.lexsort((end, start, band))
+        total += _inversions_within(band[order], np.rint(end[order] * 1e7).astype(np.int64))
+        lo = hi
+    return total
+
+
+def sweep_by_number(level: np.ndarray, start: np.ndarray, pairs: np.ndarray, passes: int) -> tuple[np.ndarray, int, int]:
+    """``sweep`` over arrays: the best place of each node in its row, with the crossings before and after.
+
+    Nodes lie row by row; level and start are their rows and first places, pairs the nodes of each edge.
+    """
+    rows, first = np.unique(level, return_index=True)
+    ends = [*first[1:].tolist(), len(level)]
+    size = np.diff([*first.tolist(), len(level)])
+    wide = np.repeat(np.maximum(1, size - 1), size)
+    a, b = pairs[level[pairs[:, 0]] != level[pairs[:, 1]]].T
+    a, b = np.where(level[a] < level[b], a, b), np.where(level[a] < level[b], b, a)
+    count = lambda p: _crossings_by_number(level, p / wide, a, b)
+    near = []
+    for n, m in ((b, a), (a, b)):
+        order = np.argsort(n, kind="stable")
+        n, m = n[order], m[order]
+        near.append((n, m, np.searchsorted(n, first).tolist(), np.searchsorted(n, ends).tolist()))
+    now = start.astype(np.int64)
+    best, least = now.copy(), count(now)
+    before = least
+    for k in range(passes):
+        node, other, lo, hi = near[k % 2]
+        for g in reversed(range(len(rows))) if k % 2 else range(len(rows)):
+            r = slice(int(first[g]), ends[g])
+            n, at = node[lo[g] : hi[g]] - r.start, now[other[lo[g] : hi[g]]]
+            many = np.bincount(n, minlength=ends[g] - r.start)
+            if k % 2 == 0:
+                score = np.bincount(n, at, ends[g] - r.start) / np.maximum(many, 1)
+            else:
+                at = at[np.lexsort((at, n))]
+                from_ = np.cumsum(many) - many
+                has = many > 0
+                score = np.zeros(len(many))
+                score[has] = (at[(from_ + (many - 1) // 2)[has]] + at[(from_ + many // 2)[has]]) / 2
+            order = np.lexsort((now[r], score, many == 0))
+            moved = np.empty(len(order), np.int64)
+            moved[order] = np.arange(len(order))
+            now[r] = moved
+        c = count(now)
+        if c < least:
+            best, least = now.copy(), c
+    return best, before, least
+
+
 def crossing_counts(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(component, c): what ``crossings`` counts, for rows (component, generation, id, position) and links (component, p, id).
 
@@ -229,32 +325,78 @@ def _swept(placed: DataFrame, edges: DataFrame, passes: int, store: Scratch) ->
     return best.join(least.select("component", "before", F.col("c").alias("after")), "component").select("component", "generation", "id", "position", "before", "after")
 
 
-def optimised_rows(placed: DataFrame, edges: DataFrame, most: int | None = None, alone: int = ALONE) -> DataFrame:
+def _by_number(big: DataFrame, edges: DataFrame, store: Scratch) -> DataFrame:
+    """``sweep`` for families of many nodes: each goes as numbers to one task."""
+    start = F.row_number().over(Window.partitionBy("component", "generation").orderBy("id")) - 1
+    num = store.write(big.select("component", "generation", "id", start.alias("position")).withColumn("k", F.monotonically_increasing_id()), "numbers")
+    num = store.write(num.join(num.groupBy("component").agg(F.min("k").alias("family")), "component"), "families")
+    end = lambda n, k: num.select("family", F.col("id").alias(n), F.col("k").alias(k))
+    links = edges.select(F.col("subject").alias("p"), F.col("object").alias("c")).distinct().join(end("c", "b"), "c").join(end("p", "a"), ["family", "p"])
+    rows = num.select("family", F.lit(0).alias("kind"), F.col("k").alias("a"), F.col("position").cast("bigint").alias("b"), "generation")
+    rows = rows.unionByName(links.select("family", F.lit(1).alias("kind"), "a", "b", F.lit(0).alias("generation")))
+    rows = rows.repartition(tasks(big.sparkSession), "family").sortWithinPartitions("family")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole(batches, "family"):
+            n = pdf[pdf["kind"] == 0].sort_values(["generation", "b"])
+            k, level = n["a"].to_numpy(), n["generation"].to_numpy().astype(np.int64)
+            order = np.argsort(k)
+            pairs = order[np.searchsorted(k, pdf[pdf["kind"] == 1][["a", "b"]].to_numpy(), sorter=order)]
+            best, before, after = sweep_by_number(level, n["b"].to_numpy(), pairs, FEWER if len(k) > LARGE else PASSES)
+            yield pd.DataFrame({"k": k, "position": best.astype(np.int32), "before": before, "after": after})
+
+    got = store.write(rows.mapInPandas(run, "k bigint, position int, before bigint, after bigint"), "ordered")
+    return num.drop("position", "family").join(got, "k").select("component", "generation", "id", "position", "before", "after")
+
+
+def _whole(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """The rows of each value of key, of batches that are sorted by it."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        for k, part in b.groupby(key):
+            if held and held[0][key].iloc[0] != k:
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)
+
+
+def optimised_rows(placed: DataFrame, edges: DataFrame, most: int | None = None, alone: int = ALONE, named: int = LARGE) -> DataFrame:
     """(component, generation, id, position, before, after) for placed (component, generation, id) and (subject, object).
 
-    Every family is ordered: those of up to alone nodes in one task, larger ones by joins and
-    windows, with the same result (neighbours are swapped in families of up to 60 nodes). Only
-    where most is given do families of more nodes keep their order by id and null crossings.
+    Every family is ordered: those of up to alone nodes in one task each (over named nodes as
+    numbers), larger ones by joins and windows, with the same result (neighbours are swapped in
+    families of up to 60 nodes). Only where most is given do families of more nodes keep their
+    order by id and null crossings.
     """
     store = Scratch(placed.sparkSession, "layout")
     placed, edges = store.write(placed.select("component", "generation", "id"), "placed"), store.write(edges.select("subject", "object"), "edges")
-    size = placed.groupBy("component").agg(F.count("*").alias("n"))
+    size = store.write(placed.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     sized = placed.join(size if most is None else size.where(F.col("n") <= most), "component")
-    small = sized.where(F.col("n") <= alone)
+    named = max(60, min(named, alone))
+    single = sized.where("n = 1").select("component", "generation", "id", F.lit(0).alias("position"), F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("after"))
+    small = sized.where((F.col("n") > 1) & (F.col("n") <= named))
     links = edges.select(F.col("subject").alias("p"), F.col("object").alias("id"))
-    rows = small.select("component", "generation", "id").join(links, "id", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = pdf.drop_duplicates("id").sort_values(["generation", "id"])
-        order = {int(g): list(x["id"]) for g, x in nodes.groupby("generation")}
-        pairs = sorted(set(zip(*[pdf.dropna(subset=["p"])[c] for c in ("p", "id")])))
-        best, before, after = optimise(order, pairs)
-        out = [(g, n, i) for g, ns in best.items() for i, n in enumerate(ns)]
-        return plain(pd.DataFrame(out, columns=["generation", "id", "position"]).assign(component=pdf["component"].iloc[0], before=before, after=after)[["component", "generation", "id", "position", "before", "after"]])
-
-    out = rows.groupBy("component").applyInPandas(run, "component string, generation int, id string, position int, before bigint, after bigint")
+    rows = small.select("component", "generation", "id").join(links, "id", "left").repartition(tasks(placed.sparkSession), "component").sortWithinPartitions("component")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = ((b[c].tolist() for c in ("component", "generation", "id", "p")) for b in batches)
+        for family, found in groupby((r for b in each for r in zip(*b)), key=lambda r: r[0]):
+            found = list(found)
+            order: dict[int, list[str]] = {}
+            for g, n in sorted({(int(g), n) for _, g, n, _ in found}):
+                order.setdefault(g, []).append(n)
+            best, before, after = optimise(order, sorted({(p, n) for _, _, n, p in found if p is not None and p == p}))
+            out = [(family, g, n, i, before, after) for g, ns in best.items() for i, n in enumerate(ns)]
+            yield plain(pd.DataFrame(out, columns=["component", "generation", "id", "position", "before", "after"]))
+
+    out = single.unionByName(rows.mapInPandas(run, "component string, generation int, id string, position int, before bigint, after bigint"))
+    big = store.write(sized.where((F.col("n") > named) & (F.col("n") <= alone)).drop("n"), "big")
+    if not big.isEmpty():
+        out = out.unionByName(_by_number(big, edges, store))
     for few, passes in ((True, FEWER), (False, PASSES)):
-        big = store.write(sized.where((F.col("n") > alone) & ((F.col("n") > LARGE) == few)).drop("n"), "big")
+        big = store.write(sized.where((F.col("n") > max(named, alone)) & ((F.col("n") > LARGE) == few)).drop("n"), "big")
         if not big.isEmpty():
             out = out.unionByName(_swept(big, edges, passes, store))
     if most is not None:

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -150,6 +151,32 @@ def test_large_families_are_swept_too(spark):
     assert {(r["before"], r["after"]) for r in lo.optimised_rows(wide, turned).select("before", "after").distinct().collect()} == {(1_200 * 1_199 // 2, 0)}
 
 
+def test_sweeps_by_number(spark):
+    rng = random.Random(11)
+    for _ in range(30):
+        size = [rng.randrange(1, 12) for _ in range(6)]
+        level = {g: [f"{g}-{i:02}" for i in range(n)] for g, n in enumerate(size)}
+        every = [n for ns in level.values() for n in ns]
+        links = sorted({(a, b) if a < b else (b, a) for a, b in (rng.sample(every, 2) for _ in range(50)) if a[0] != b[0]}) if len(every) > 1 else []
+        at = {n: k for k, n in enumerate(every)}
+        best, before, after = lo.sweep_by_number(np.array([int(n[0]) for n in every]), np.array([int(n[2:]) for n in every]), np.array([(at[a], at[b]) for a, b in links], int).reshape(-1, 2), 8)
+        want = lo.sweep(level, links, 8)
+        assert dict(zip(every, best.tolist())) == {n: i for ns in want.values() for i, n in enumerate(ns)}
+        assert (before, after) == (lo.crossings(level, links), lo.crossings(want, links))
+    group = np.sort(np.array([rng.randrange(5) for _ in range(200)]))
+    v = np.array([rng.randrange(30) for _ in range(200)])
+    assert lo._inversions_within(group, v) == sum(lo.inversions(v[group == g].tolist()) for g in range(5))
+
+
+def test_large_families_are_ordered_without_a_job_per_row(spark):
+    depth = 60
+    placed = spark.createDataFrame([("k", g, f"{g:02}-{i}") for g in range(depth) for i in range(10)] + [("s", 3, "s"), ("t", 0, "t"), ("t", 1, "u")], "component string, generation int, id string")
+    e = edges(spark, *((f"{g:02}-{i}", f"{g + 1:02}-{9 - i}", M) for g in range(depth - 1) for i in range(10)), ("t", "u", M))
+    got, n = jobs(spark, lambda: rows(lo.optimised_rows(placed, e)))
+    assert n < 60 and {r[4:] for r in got if r[0] == "k"} == {(45 * (depth - 1), 0)} and {r[3:] for r in got if r[0] != "k"} == {(0, 0, 0)}
+    assert rows(lo.optimised_rows(placed, e, named=1_000)) == got
+
+
 def test_geometry_against_brute_force(spark):
     rng = random.Random(4)
     s = [(i, i % 3, float(rng.randrange(2000)), float(rng.randrange(2000)), float(rng.randrange(2000)), float(rng.randrange(2000))) for i in range(40)] + [(99, 5, 0.0, 0.0, 0.0, 0.0)]
