@@ -96,6 +96,19 @@ def test_acyclic_of_a_deep_family(spark, deep):
     assert rows(pedigree.acyclic(spark, deep)) == [("an-x",), ("an-y",)]
 
 
+#: What holds for every row of a query over the deep family, and the rows beside the family's.
+DEEP_ROWS = {
+    "row_positions": ("position = 0 and x = 0 and generation = cast(substr(id, 4) as int)", 0),
+}
+
+
+@pytest.mark.parametrize("name", DEEP_ROWS)
+def test_rows_of_a_deep_family(spark, deep, name):
+    right, more = DEEP_ROWS[name]
+    got = getattr(pedigree, name)(spark, deep).agg(F.count("*"), F.count_if(F.expr(right))).first()
+    assert tuple(got) == (DEEP + more,) * 2
+
+
 def test_edges_and_pairs(spark):
     e = edges(spark, ("m", "c", M), ("f", "c", P), ("m", "c", P), ("c", "c", S), ("m", "q", M))
     assert rows(gr.parent_pairs(e)) == [("c", "m", "f")]
