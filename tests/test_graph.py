@@ -101,6 +101,7 @@ DEEP_ROWS = {
     "generation_widths": ("n = 1 and first_id = last_id and generation = cast(substr(first_id, 4) as int)", 0),
     "row_positions": ("position = 0 and x = 0 and generation = cast(substr(id, 4) as int)", 0),
     "normalized_rank": ("rank01 = 0", 0),
+    "running_offset": ("`offset` = generation * 320.0", 0),
 }
 
 
