@@ -98,6 +98,7 @@ def test_acyclic_of_a_deep_family(spark, deep):
 
 #: What holds for every row of a query over the deep family, and the rows beside the family's.
 DEEP_ROWS = {
+    "generations": ("generation = coalesce(try_cast(substr(animal_id, 4) as int), -1)", 2),
     "generation_widths": ("n = 1 and first_id = last_id and generation = cast(substr(first_id, 4) as int)", 0),
     "row_positions": ("position = 0 and x = 0 and generation = cast(substr(id, 4) as int)", 0),
     "normalized_rank": ("rank01 = 0", 0),
