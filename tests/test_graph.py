@@ -104,6 +104,7 @@ DEEP_ROWS = {
     "normalized_rank": ("rank01 = 0", 0),
     "running_offset": ("`offset` = generation * 320.0", 0),
     "barycenter_rank": ("rank = 0 and generation = cast(substr(id, 4) as int)", 0),
+    "parent_order": ("false", -DEEP),
 }
 
 
