@@ -77,6 +77,21 @@ def test_walks_take_no_rounds(spark, upward):
     assert walked(5) == walked(5, most=0) and {r[2] for r in walked(5, depth=2)} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("narrow", [0, 3, 64])
+def test_narrow_rows_are_levelled_without_a_call_per_row(monkeypatch, narrow):
+    line = np.stack([np.arange(50_000), np.arange(1, 50_001)], 1)
+    wide = np.array([(k % 7, 100_000 + k) for k in range(200)] + [(100_000 + k, 200_000) for k in range(200)] + [(300_000, 300_001), (300_001, 300_000), (300_001, 300_002)])
+    calls, unique = [], np.unique
+    monkeypatch.setattr(gr, "NARROW", narrow, raising=False)
+    monkeypatch.setattr(gr.np, "unique", lambda *a, **k: calls.append(1) or unique(*a, **k))
+    names, level, child = gr.level_pairs(np.concatenate([line, wide]) if narrow else wide)
+    got = dict(zip(names.tolist(), level.tolist()))
+    assert len(calls) <= 10
+    assert all(got[k] == k for k in range(50_001 if narrow else 0))
+    assert all(got[100_000 + k] == (k % 7 if narrow else 0) + 1 for k in range(200)) and got[200_000] == (8 if narrow else 2)
+    assert [got[300_000 + k] for k in range(3)] == [-1, -1, -1] and int((~child).sum()) == (1 if narrow else 7)
+
+
 DEEP = 51_000
 
 
