@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kinweft.functions import dates, text, urls
 from kinweft.operators import index as ix
 from kinweft.operators import search as se
+from kinweft.session import id_key
 
 
 def one(spark, schema, values, column):
@@ -91,3 +92,13 @@ def test_index(spark):
     assert ix.chunks(spark.range(0), "id", 4).count() == 0
     n = spark.createDataFrame([([("b", "de"), ("z", "en"), ("c", "en")],), ([("b", "de"), ("a", "fr")],), ([],)], "n array<struct<value:string,language:string>>")
     assert [r[0] for r in n.select(ix.preferred(F.col("n"))).collect()] == ["c", "a", None]
+
+
+def test_id_key_trims_what_the_pattern_trimmed(spark):
+    blanks = [chr(c) for c in (*range(0x2100), 0x3000, 0xFEFF, 0x180E, 0x1F600) if not 0xD800 <= c < 0xE000]
+    texts = [f"{b}An-1{b}x {b}" for b in blanks] + [f"{b}An\n{b}{b}" for b in blanks] + ["", "  ", "a \n", "\r\n a \n", "　 ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    was = F.nullif(F.lower(F.regexp_replace("t", r"(?U)^\s+|\s+$", "")), F.lit(""))
+    assert df.where(~id_key("t").eqNullSafe(was)).count() == 0
+    plan = df.select(id_key("t").alias("k")).where("k is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
