@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import rows
@@ -77,6 +78,35 @@ def test_walks_take_no_rounds(spark, upward):
     assert walked(5) == walked(5, most=0) and {r[2] for r in walked(5, depth=2)} == {0, 1, 2}
 
 
+def lines(spark, sf, upward):
+    """A folder with a line of 46 animals, a loop and ids without numbers, and what each animal leads to."""
+    links = [(f"an-{i:09d}", f"an-{i + 1:09d}") for i in range(1, 46)] + [("an-x", "an-y"), ("an-y", "an-x"), ("an-y", "an-000000003"), ("an-000000007", "an-000000007")]
+    names = sorted({n for pair in links for n in pair} | {"an-lone"})
+    nodes(spark, names).write.parquet(f"{sf}/animals.parquet")
+    e = spark.createDataFrame([(f"r{k}", a, f" {b.upper()} ", M, "", [], None) for k, (a, b) in enumerate(links)] + [("r-null", "an-x", None, M, "", [], None)], EDGES + ", status string, source_ids array<string>, review string")
+    e.withColumn("loaded_at", F.lit(None).cast("timestamp")).write.parquet(f"{sf}/relationships.parquet")
+    want = {}
+    for s in names:
+        level, want[s, s] = [s], 0
+        for d in range(1, len(names)):
+            level = [x for a, b in links for n, x in [(b, a) if upward else (a, b)] if n in level and (s, x) not in want]
+            want |= dict.fromkeys(((s, x) for x in level), d)
+    return sorted((s, n, d) for (s, n), d in want.items())
+
+
+def walked_from_all(spark, tmp_path, name, upward):
+    want = lines(spark, tmp_path, upward)
+    assert max(d for _, _, d in want) > 40 and rows(getattr(pedigree, name)(spark, str(tmp_path))) == want
+    with duckdb.connect() as c:
+        for t in ("animals", "relationships"):
+            c.sql(f"create view {t} as from '{tmp_path}/{t}.parquet/*.parquet'")
+        assert sorted(c.sql(pedigree.REG.sql[name]).fetchall()) == want
+
+
+def test_ancestors_of_every_animal(spark, tmp_path):
+    walked_from_all(spark, tmp_path, "ancestors", True)
+
+
 @pytest.mark.parametrize("narrow", [0, 3, 64])
 def test_narrow_rows_are_levelled_without_a_call_per_row(monkeypatch, narrow):
     line = np.stack([np.arange(50_000), np.arange(1, 50_001)], 1)
