@@ -107,6 +107,10 @@ def test_ancestors_of_every_animal(spark, tmp_path):
     walked_from_all(spark, tmp_path, "ancestors", True)
 
 
+def test_descendants_of_every_animal(spark, tmp_path):
+    walked_from_all(spark, tmp_path, "descendants", False)
+
+
 @pytest.mark.parametrize("narrow", [0, 3, 64])
 def test_narrow_rows_are_levelled_without_a_call_per_row(monkeypatch, narrow):
     line = np.stack([np.arange(50_000), np.arange(1, 50_001)], 1)
