@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
@@ -21,8 +22,9 @@ from kinweft.session import plain, tasks
 ALONE = 10_000_000
 #: Pieces of edges whose crossings are counted at once.
 PIECES = 2_000_000
-#: Over so many nodes the search has fewer passes.
-LARGE, PASSES, FEWER = 500, 8, 5
+#: Over so many nodes a family is ordered as numbers, with equal results.
+LARGE = 500
+PASSES = 8
 
 
 def inversions(values: list[int]) -> int:
@@ -92,22 +94,14 @@ def sweep(rows: dict[int, list[str]], edges: list[tuple[str, str]], passes: int
 
 
 def swap_neighbours(rows: dict[int, list[str]], edges: list[tuple[str, str]], rounds: int = 2) -> dict[int, list[str]]:
-    """Adjacent swaps that lower the crossings, up to a number of rounds."""
-    rows = {g: list(ns) for g, ns in rows.items()}
-    least = crossings(rows, edges)
-    for _ in range(rounds):
-        better = False
-        for ns in rows.values():
-            for i in range(len(ns) - 1):
-                ns[i], ns[i + 1] = ns[i + 1], ns[i]
-                c = crossings(rows, edges)
-                if c < least:
-                    least, better = c, True
-                else:
-                    ns[i], ns[i + 1] = ns[i + 1], ns[i]
-        if not better:
-            break
-    return rows
+    """Adjacent swaps that lower the crossings, row by row from the first, up to a number of rounds."""
+    names = [n for g in sorted(rows) for n in rows[g]]
+    at = {n: k for k, n in enumerate(names)}
+    level = np.array([g for g in sorted(rows) for _ in rows[g]], np.int64)
+    place = np.array([i for g in sorted(rows) for i in range(len(rows[g]))], np.int64)
+    pairs = np.array([(at[a], at[b]) for a, b in edges if a in at and b in at], np.int64).reshape(-1, 2)
+    place, _ = swap_by_number(level, place, pairs, rounds)
+    return {g: [names[k] for k in sorted((at[n] for n in ns), key=place.__getitem__)] for g, ns in rows.items()}
 
 
 def precedence(ids: list[str], before: list[tuple[str, str]]) -> list[str]:
@@ -173,12 +167,10 @@ def focused_order(rows: dict[int, list[str]], edges: list[tuple[str, str]], pair
     return tries[best[2]], before, best[0]
 
 
-def optimise(rows: dict[int, list[str]], edges: list[tuple[str, str]], large: int = LARGE) -> tuple[dict[int, list[str]], int, int]:
+def optimise(rows: dict[int, list[str]], edges: list[tuple[str, str]]) -> tuple[dict[int, list[str]], int, int]:
     """The best of the given order, its sweeps and swaps, with the crossings before and after."""
     before = crossings(rows, edges)
-    best = sweep(rows, edges, FEWER if sum(map(len, rows.values())) > large else PASSES)
-    if sum(map(len, rows.values())) <= 60:
-        best = swap_neighbours(best, edges)
+    best = swap_neighbours(sweep(rows, edges, PASSES), edges)
     return best, before, crossings(best, edges)
 
 
@@ -274,6 +266,147 @@ def sweep_by_number(level: np.ndarray, start: np.ndarray, pairs: np.ndarray, pas
     return best, before, least
 
 
+def swap_by_number(level: np.ndarray, start: np.ndarray, pairs: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, int]:
+    """The place of each node after the swaps of neighbours that lower the crossings, and how much these change.
+
+    Nodes lie row by row; level and start are their rows and places, pairs the nodes of each edge. A
+    swap moves the pieces of its nodes' edges by little, so that only pieces that start or end within
+    that little can cross them otherwise than before: pieces lie in cells by where they start and end.
+    """
+    first = np.unique(level, return_index=True)[1]
+    ends = [*first[1:].tolist(), len(level)]
+    size = np.diff([*first.tolist(), len(level)])
+    wide = np.repeat(np.maximum(1, size - 1), size)
+    a, b = pairs[level[pairs[:, 0]] != level[pairs[:, 1]]].T
+    if not len(a):
+        return start.astype(np.int64), 0
+    a, b = np.where(level[a] < level[b], a, b), np.where(level[a] < level[b], b, a)
+    span = level[b] - level[a]
+    base = np.cumsum(span) - span
+    edge = np.repeat(np.arange(len(a)), span)
+    k = np.arange(len(edge)) - base[edge]
+    at = start / wide
+    low, rise = at[a][edge], (at[b] - at[a])[edge]
+    begin, end = low + rise * k / span[edge], np.rint((low + rise * (k + 1) / span[edge]) * 1e7).astype(np.int64)
+    _, band = np.unique(level[a][edge] + k, return_inverse=True)
+    many = np.bincount(band)
+    cells, many_, cells_ = np.cumsum(many) - many, many.tolist(), (np.cumsum(many) - many).tolist()
+    in_s = cells[band] + np.clip((begin * many[band]).astype(np.int64), 0, many[band] - 1)
+    in_e = cells[band] + np.clip((end / 1e7 * many[band]).astype(np.int64), 0, many[band] - 1)
+    plain_ = lambda kind, x: array(kind, np.ascontiguousarray(x, {"q": np.int64, "d": np.float64}[kind]).tobytes())
+    lists = [tuple(plain_("q", x) for x in _chained(c)) for c in (in_s, in_e)]
+    (head_s, next_s, _, cell_s), (head_e, next_e, _, cell_e) = lists
+    starts, stops, bands = plain_("d", begin), plain_("q", end), plain_("q", band)
+    lower, upper, spans, bases, at = plain_("q", a), plain_("q", b), plain_("q", span), plain_("q", base), plain_("d", at)
+    order = np.argsort(np.concatenate([a, b]), kind="stable")
+    own, from_ = plain_("q", order % len(a)), np.searchsorted(np.concatenate([a, b])[order], np.arange(len(level) + 1)).tolist()
+
+    def moved(u: int, x: int, to_u: float, to_x: float) -> dict[int, list[tuple[int, float, int]]]:
+        out: dict[int, list[tuple[int, float, int]]] = {}
+        for n, to in ((u, to_u), (x, to_x)):
+            for e in own[from_[n] : from_[n + 1]]:
+                p, far = (to, at[upper[e]]) if lower[e] == n else (at[lower[e]], to)
+                rise, m, q = far - p, spans[e], bases[e]
+                for k in range(m):
+                    out.setdefault(bands[q + k], []).append((q + k, p + rise * k / m, round((p + rise * (k + 1) / m) * 1e7)))
+        return out
+
+    def change(b: int, pieces: list[tuple[int, float, int]]) -> int:
+        mine = {p for p, _, _ in pieces}
+        total, n, c0 = 0, many_[b], cells_[b]
+        for p, s1, e1 in pieces:
+            s0, e0 = starts[p], stops[p]
+            lo, hi = (s0, s1) if s0 < s1 else (s1, s0)
+            if s0 != s1:
+                for c in range(c0 + max(0, min(n - 1, int(lo * n))), c0 + max(0, min(n - 1, int(hi * n))) + 1):
+                    q = head_s[c]
+                    while q >= 0:
+                        s, e = starts[q], stops[q]
+                        if lo <= s <= hi and q not in mine:
+                            total += ((s1 < s and e1 > e) or (s1 > s and e1 < e)) - ((s0 < s and e0 > e) or (s0 > s and e0 < e))
+                        q = next_s[q]
+            if e0 != e1:
+                low, high = (e0, e1) if e0 < e1 else (e1, e0)
+                for c in range(c0 + max(0, min(n - 1, int(low / 1e7 * n))), c0 + max(0, min(n - 1, int(high / 1e7 * n))) + 1):
+                    q = head_e[c]
+                    while q >= 0:
+                        s, e = starts[q], stops[q]
+                        if low <= e <= high and q not in mine and (s0 == s1 or not lo <= s <= hi):
+                            total += ((s1 < s and e1 > e) or (s1 > s and e1 < e)) - ((s0 < s and e0 > e) or (s0 > s and e0 < e))
+                        q = next_e[q]
+        if len(pieces) > 1:
+            total += inversions([e for _, e in sorted((s, e) for _, s, e in pieces)]) - inversions([e for _, e in sorted((starts[p], stops[p]) for p in mine)])
+        return total
+
+    def move(p: int, to: int, head: array, next_: array, last: array, cell: array) -> None:
+        if cell[p] == to:
+            return
+        before, after = last[p], next_[p]
+        if before >= 0:
+            next_[before] = after
+        else:
+            head[cell[p]] = after
+        if after >= 0:
+            last[after] = before
+        last[p], next_[p], cell[p] = -1, head[to], to
+        if head[to] >= 0:
+            last[head[to]] = p
+        head[to] = p
+
+    gain = 0
+    sorted_ = np.lexsort((start, level))
+    rows = [sorted_[i:j].tolist() for i, j in zip(first.tolist(), ends)]
+    for _ in range(rounds):
+        better = False
+        for row in rows:
+            w = max(1, len(row) - 1)
+            for i in range(len(row) - 1):
+                u, x = row[i], row[i + 1]
+                pieces = moved(u, x, (i + 1) / w, i / w)
+                d = sum(change(b, ps) for b, ps in pieces.items())
+                if d >= 0:
+                    continue
+                row[i], row[i + 1], at[u], at[x] = x, u, (i + 1) / w, i / w
+                gain, better = gain + d, True
+                for b, ps in pieces.items():
+                    n, c0 = many_[b], cells_[b]
+                    for p, s, e in ps:
+                        starts[p], stops[p] = s, e
+                        move(p, c0 + max(0, min(n - 1, int(s * n))), *lists[0])
+                        move(p, c0 + max(0, min(n - 1, int(e / 1e7 * n))), *lists[1])
+        if not better:
+            break
+    place = np.empty(len(level), np.int64)
+    for row in rows:
+        place[row] = np.arange(len(row))
+    return place, gain
+
+
+def _chained(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first of each cell, next and last of each piece, its cell), -1 for none."""
+    order = np.argsort(cell, kind="stable")
+    same = cell[order][1:] == cell[order][:-1]
+    head, next_, last = (np.full(len(cell), -1, np.int64) for _ in range(3))
+    next_[order[:-1][same]], last[order[1:][same]] = order[1:][same], order[:-1][same]
+    new = np.concatenate([[True], ~same])
+    head[cell[order][new]] = order[new]
+    return head, next_, last, cell
+
+
+def ordered_by_number(level: np.ndarray, start: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """``optimise`` over arrays: the best place of each node, with the crossings before and after."""
+    best, before, after = sweep_by_number(level, start, pairs, PASSES)
+    if after:
+        best, gain = swap_by_number(level, best, pairs)
+        after += gain
+    return best, before, after
+
+
+def _swaps(level: np.ndarray, start: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, int, int]:
+    best, gain = swap_by_number(level, start, pairs)
+    return best, 0, gain
+
+
 def crossing_counts(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(component, c): what ``crossings`` counts, for rows (component, generation, id, position) and links (component, p, id).
 
@@ -325,9 +458,9 @@ def _swept(placed: DataFrame, edges: DataFrame, passes: int, store: Scratch) ->
     return best.join(least.select("component", "before", F.col("c").alias("after")), "component").select("component", "generation", "id", "position", "before", "after")
 
 
-def _by_number(big: DataFrame, edges: DataFrame, store: Scratch) -> DataFrame:
-    """``sweep`` for families of many nodes: each goes as numbers to one task."""
-    start = F.row_number().over(Window.partitionBy("component", "generation").orderBy("id")) - 1
+def _by_number(big: DataFrame, edges: DataFrame, store: Scratch, search=ordered_by_number) -> DataFrame:
+    """search for families of many nodes: each goes as numbers to one task, in its order by id or at its positions."""
+    start = F.col("position") if "position" in big.columns else F.row_number().over(Window.partitionBy("component", "generation").orderBy("id")) - 1
     num = store.write(big.select("component", "generation", "id", start.alias("position")).withColumn("k", F.monotonically_increasing_id()), "numbers")
     num = store.write(num.join(num.groupBy("component").agg(F.min("k").alias("family")), "component"), "families")
     end = lambda n, k: num.select("family", F.col("id").alias(n), F.col("k").alias(k))
@@ -342,7 +475,7 @@ def _by_number(big: DataFrame, edges: DataFrame, store: Scratch) -> DataFrame:
             k, level = n["a"].to_numpy(), n["generation"].to_numpy().astype(np.int64)
             order = np.argsort(k)
             pairs = order[np.searchsorted(k, pdf[pdf["kind"] == 1][["a", "b"]].to_numpy(), sorter=order)]
-            best, before, after = sweep_by_number(level, n["b"].to_numpy(), pairs, FEWER if len(k) > LARGE else PASSES)
+            best, before, after = search(level, n["b"].to_numpy(), pairs)
             yield pd.DataFrame({"k": k, "position": best.astype(np.int32), "before": before, "after": after})
 
     got = store.write(rows.mapInPandas(run, "k bigint, position int, before bigint, after bigint"), "ordered")
@@ -366,15 +499,15 @@ def optimised_rows(placed: DataFrame, edges: DataFrame, most: int | None = None,
     """(component, generation, id, position, before, after) for placed (component, generation, id) and (subject, object).
 
     Every family is ordered: those of up to alone nodes in one task each (over named nodes as
-    numbers), larger ones by joins and windows, with the same result (neighbours are swapped in
-    families of up to 60 nodes). Only where most is given do families of more nodes keep their
-    order by id and null crossings.
+    numbers), larger ones by joins and windows, with the same result. Swaps follow one another, so
+    that those of a family are always tried in one task. Only where most is given do families of more
+    nodes keep their order by id and null crossings.
     """
     store = Scratch(placed.sparkSession, "layout")
     placed, edges = store.write(placed.select("component", "generation", "id"), "placed"), store.write(edges.select("subject", "object"), "edges")
     size = store.write(placed.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     sized = placed.join(size if most is None else size.where(F.col("n") <= most), "component")
-    named = max(60, min(named, alone))
+    named = min(named, alone)
     single = sized.where("n = 1").select("component", "generation", "id", F.lit(0).alias("position"), F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("after"))
     small = sized.where((F.col("n") > 1) & (F.col("n") <= named))
     links = edges.select(F.col("subject").alias("p"), F.col("object").alias("id"))
@@ -395,10 +528,12 @@ def optimised_rows(placed: DataFrame, edges: DataFrame, most: int | None = None,
     big = store.write(sized.where((F.col("n") > named) & (F.col("n") <= alone)).drop("n"), "big")
     if not big.isEmpty():
         out = out.unionByName(_by_number(big, edges, store))
-    for few, passes in ((True, FEWER), (False, PASSES)):
-        big = store.write(sized.where((F.col("n") > max(named, alone)) & ((F.col("n") > LARGE) == few)).drop("n"), "big")
-        if not big.isEmpty():
-            out = out.unionByName(_swept(big, edges, passes, store))
+    big = store.write(sized.where(F.col("n") > max(named, alone)).drop("n"), "big")
+    if not big.isEmpty():
+        swept = store.write(_swept(big, edges, PASSES, store), "swept")
+        swapped = _by_number(swept.select("component", "generation", "id", "position"), edges, store, _swaps).withColumnRenamed("after", "gain").drop("before")
+        counts = swept.select("component", "before", F.col("after").alias("swept")).distinct()
+        out = out.unionByName(swapped.join(counts, "component").select("component", "generation", "id", "position", "before", (F.col("swept") + F.col("gain")).alias("after")))
     if most is not None:
         kept = placed.join(size.where(F.col("n") > most), "component")
         out = out.unionByName(kept.select("component", "generation", "id", (F.row_number().over(Window.partitionBy("component", "generation").orderBy("id")) - 1).alias("position"), F.lit(None).cast("bigint").alias("before"), F.lit(None).cast("bigint").alias("after")))

@@ -219,6 +219,47 @@ def test_large_families_are_swept_too(spark):
     assert {(r["before"], r["after"]) for r in lo.optimised_rows(wide, turned).select("before", "after").distinct().collect()} == {(1_200 * 1_199 // 2, 0)}
 
 
+def swapped(level, links, rounds=2):
+    """Every swap of neighbours tried in turn, all crossings counted again."""
+    level = {g: list(ns) for g, ns in level.items()}
+    for _ in range(rounds):
+        for ns in level.values():
+            for i in range(len(ns) - 1):
+                least = lo.crossings(level, links)
+                ns[i : i + 2] = ns[i + 1], ns[i]
+                if lo.crossings(level, links) >= least:
+                    ns[i : i + 2] = ns[i + 1], ns[i]
+    return level
+
+
+def test_swaps_count_what_changes():
+    rng = random.Random(12)
+    for _ in range(60):
+        level = {g: [f"{g}-{i:02}" for i in range(rng.randrange(1, 12))] for g in sorted(rng.sample(range(9), rng.randrange(1, 6)))}
+        every = [n for ns in level.values() for n in ns]
+        links = sorted({(rng.choice(every), rng.choice(every)) for _ in range(rng.randrange(60))})
+        assert lo.swap_neighbours(level, links) == swapped(level, links)
+
+
+@pytest.mark.parametrize("size", [12, 30, 105])
+def test_families_of_every_size_are_searched_alike(spark, size):
+    rng = random.Random(size)
+    level = {g: [f"{g}-{i:03}" for i in range(size)] for g in range(5)}
+    links = sorted({(rng.choice(level[g]), rng.choice(level[min(4, g + rng.choice((1, 1, 1, 3)))])) for g in range(4) for _ in range(size)})
+    placed = spark.createDataFrame([("k", g, n) for g, ns in level.items() for n in ns], "component string, generation int, id string")
+    want = lo.sweep(level, links, 8)
+    if size < 100:
+        want = swapped(want, links)
+    else:
+        want = lo.swap_neighbours(want, links)
+        assert lo.crossings(want, links) < lo.crossings(lo.sweep(level, links, 8), links)
+    count = (lo.crossings(level, links), lo.crossings(want, links))
+    want = sorted(("k", g, n, i, *count) for g, ns in want.items() for i, n in enumerate(ns))
+    e = edges(spark, *((a, b, M) for a, b in links))
+    for more in ({}, {"named": 10}, {"named": 1_000}) + (({"alone": 10},) if size < 20 else ()):
+        assert rows(lo.optimised_rows(placed, e, **more)) == want
+
+
 def test_sweeps_by_number(spark):
     rng = random.Random(11)
     for _ in range(30):
