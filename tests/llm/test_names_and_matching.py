@@ -120,6 +120,18 @@ def test_shared_names_and_numbers_are_resolved_by_what_comes_with_them(spark):
     assert [r["import_id"] for r in left.collect()] == ["i6"]
 
 
+def test_names_are_rare_among_the_animals_that_numbers_leave(spark):
+    animals = [row(f"a{k}", "Goza", ids=[("isb", f"000100{k}"), ("chip", f"90000079192973{k}")]) for k in range(4)] + [row("free", "Goza"), row("near", "Gora")]
+    animals += [row(f"t{k}", "Nimu") for k in range(2)] + [row("t9", "Nimu", ids=[("isb", "0005000")])]
+    known, odd = [("studbook", "SB0009993")], [("studbook", "SB876813219")]
+    imports = [row("one", "Goza", ids=known), row("chip", "Goza", ids=[("transponder", "00424563")]), row("odd", "Goza", ids=odd), row("both", "Goza", ids=known + odd), row("bare", "Goza"), row("two", "Nimu", ids=known)]
+    got = candidates(spark.createDataFrame(imports, ROW), spark.createDataFrame(animals, ROW), Scratch(spark, "test")).collect()
+    rare = {r["import"]: r["rare"] for r in got if r["animal"] == "free"}
+    assert rare["one"] == rare["chip"] == 1.0 and rare["odd"] < 0.5 and rare["both"] < 0.5 and "bare" not in rare
+    assert not any(r["import"] == "two" and r["animal"].startswith("t") for r in got)
+    assert all(r["rare"] < 1 for r in got if r["animal"] != "free")
+
+
 def test_single_names_and_houses_with_slips(spark):
     animals = [row("a1", "Rupo"), row("a2", "Tahotodemi"), row("a3", "Dapore Samiduzu"), row("a4", "Hopera Nakutamo"), row("a5", "Kotare")]
     imports = [row("i1", "Rupoh"), row("i2", "Tahatodimi"), row("i3", "D. Samidzu"), row("i4", "Hope-kun Nakutano"), row("i5", "Kotare"), row("i6", "Katari"), row("i7", "Rupo", taxon="Ursus maritimus")]
